@@ -16,35 +16,39 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ozalid.session import cut_lineage
+
 DIGIT_BITS = 16
 ROUNDS = 4
 #: Targets (groups x percentiles) up to this many are broadcast, each some 100 bytes; beyond, the rounds use a shuffle join.
 MOST_BROADCAST_TARGETS = 50_000
-NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 PERCENTILES = ("0.5", "0.9", "0.99", "0.999")
 
 
-def parse_number(text: Column) -> Column:
-    """The double written in text; NULL where it isn't a plain decimal number. 'nan' and 'inf' give NaN and infinity."""
-    word = F.lower(F.trim(text))
-    special = F.when(word.isin("nan", "+nan", "-nan"), F.lit(float("nan"))).when(word.isin("inf", "+inf", "infinity", "+infinity"), F.lit(float("inf"))).when(word.isin("-inf", "-infinity"), F.lit(float("-inf")))
-    return F.when(text.rlike(NUMBER), text.try_cast("double")).otherwise(special)
-
-
-def order_key(value: Column) -> Column:
-    """A signed 64-bit integer of the same order as a finite double: its IEEE bits, mirrored below zero.
-
-    Built from exact arithmetic (powers of two only), so it stays inside whole-stage code generation.
-    """
-    x = F.abs(value)
-    guess = F.floor(F.log2(x))
-    low = F.when(F.pow(F.lit(2.0), guess) > x, guess - 1).otherwise(guess)
-    e = F.when(F.pow(F.lit(2.0), low + 1) <= x, low + 1).otherwise(low)
-    mantissa = ((x / F.pow(F.lit(2.0), e) - 1.0) * F.lit(2.0**52)).cast("long")
-    normal = (e + F.lit(1023)).cast("long") * F.lit(2**52) + mantissa
+def with_number(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with `out`, the double written in df[text]: NULL where it isn't a decimal number, nan or an infinity."""
+    cast = df.withColumn("_c", F.col(text).try_cast("double"))
+    java_only = F.translate(F.col(text), "dDfFxXpP", "") != F.col(text)  # suffixes and hexadecimal forms
+    special = F.isnan("_c") | (F.abs("_c") == F.lit(float("inf")))
+    return cast.withColumn(out, F.when(special | ~java_only, F.col("_c"))).drop("_c")
+
+
+def with_key(df: DataFrame, value: str, out: str) -> DataFrame:
+    """df with `out`, a signed 64-bit integer of the same order as the finite double df[value]: its IEEE bits, mirrored
+    below zero. Exact arithmetic with powers of two, in steps that are each computed once inside generated code."""
+    x = F.col("_x")
+    sized = df.withColumn("_x", F.when(~F.isnan(value) & (F.abs(F.col(value)) < F.lit(float("inf"))), F.abs(F.col(value))))
+    guess = sized.withColumn("_g", F.when(x > 0, F.least(F.lit(1023), F.floor(F.log2(x)).cast("int"))))
+    one = F.lit(1).cast("long")
+    small = F.when(F.col("_g") >= 0, F.call_function("shiftleft", one, F.col("_g")).cast("double")).otherwise(1.0 / F.call_function("shiftleft", one, -F.col("_g")).cast("double"))
+    power = guess.withColumn("_p", F.when(F.col("_g").between(-62, 62), small).otherwise(F.pow(F.lit(2.0), F.col("_g"))))
+    off = F.when(x < F.col("_p"), -1).when(x >= F.col("_p") * 2.0, 1).otherwise(0)  # log2 may be off by one near a power
+    exact = power.withColumn("_o", off)
+    mantissa = ((x / F.col("_p") / F.when(F.col("_o") == 0, 1.0).when(F.col("_o") > 0, 2.0).otherwise(0.5) - 1.0) * F.lit(2.0**52)).cast("long")
+    normal = (F.col("_g") + F.col("_o") + 1023).cast("long") * F.lit(2**52) + mantissa
     subnormal = (x * F.lit(2.0**537) * F.lit(2.0**537)).cast("long")
-    bits = F.when(x == 0.0, F.lit(0).cast("long")).when(x < F.lit(2.0**-1022), subnormal).otherwise(normal)
-    return F.when(value < 0, -bits - 1).otherwise(bits)
+    bits = exact.withColumn("_b", F.when(x == 0.0, F.lit(0).cast("long")).when(x < F.lit(2.0**-1022), subnormal).otherwise(normal))
+    return bits.withColumn(out, F.when(F.col(value) < 0, -F.col("_b") - 1).otherwise(F.col("_b"))).drop("_x", "_g", "_p", "_o", "_b")
 
 
 def key_value(key: Column) -> Column:
@@ -72,8 +76,8 @@ def _digit(key: Column, round_no: int) -> Column:
 
 def digit_counts(df: DataFrame, by: list[str], value: str, status: str, bits: int = DIGIT_BITS) -> DataFrame:
     """The mergeable piece: rows per (by..., status, first `bits` bits of the key); prefix is NULL unless status is ok."""
-    prefix = F.when(F.col(status) == "ok", F.shiftright(order_key(F.col(value)), 64 - bits))
-    return df.groupBy(*by, F.col(status).alias("status"), prefix.alias("prefix")).agg(F.count("*").alias("n"))
+    prefix = F.when(F.col(status) == "ok", F.shiftright("_k", 64 - bits))
+    return with_key(df, value, "_k").groupBy(*by, F.col(status).alias("status"), prefix.alias("prefix")).agg(F.count("*").alias("n"))
 
 
 def merge_counts(counts: DataFrame, by: list[str]) -> DataFrame:
@@ -118,8 +122,6 @@ def _known(targets: DataFrame) -> tuple[DataFrame, bool]:
     rows = targets.limit(MOST_BROADCAST_TARGETS + 1).collect()
     if len(rows) <= MOST_BROADCAST_TARGETS:
         return targets.sparkSession.createDataFrame(rows, targets.schema), True
-    from ozalid.session import cut_lineage
-
     return cut_lineage(targets), False
 
 
@@ -137,15 +139,23 @@ def percentiles(df: DataFrame, by: list[str], value: str, status: str, at: tuple
     first = digit_counts(narrow, [*by, *(pieces or [])], "_v", "_s")
     if pieces:
         first = merge_counts(first, by)
+    first = cut_lineage(first)  # groups x occupied digits; read twice
     targets = _targets(first, by, at).withColumn("prefix", F.lit(None).cast("long"))
     counts = first.filter("status = 'ok'").select(*by, F.col("prefix").cast("int").alias("digit"), "n")
     targets, few = _known(_follow(targets, counts, by, 1))
-    keyed = narrow.filter(F.col("_s") == "ok").select(*by, order_key(F.col("_v")).alias("_k"))
+    valid = narrow.filter(F.col("_s") == "ok").select(*by, "_v")
     for round_no in range(2, rounds + 1):
-        wanted = targets.filter("prefix IS NOT NULL").select(*by, "prefix").distinct()
-        here = keyed.withColumn("prefix", F.shiftright("_k", 64 - DIGIT_BITS * (round_no - 1)))
-        found = here.alias("k").join(F.broadcast(wanted).alias("w") if few else wanted.alias("w"), _same("k", "w", [*by, "prefix"]), "left_semi")
-        counts = found.groupBy(*by, "prefix", _digit(F.col("_k"), round_no).alias("digit")).agg(F.count("*").alias("n"))
+        unit = 2 ** (64 - DIGIT_BITS * (round_no - 1))
+        ranges = F.struct(key_value(F.col("prefix") * F.lit(unit)).alias("lo"), key_value((F.col("prefix") + 1) * F.lit(unit)).alias("hi"))
+        wanted = targets.filter("prefix IS NOT NULL").groupBy(*by).agg(F.collect_set(ranges).alias("r"))
+        wanted = wanted.select(*by, *[F.get("r", F.lit(i)).alias(f"_r{i}") for i in range(len(at))])
+        inside = F.lit(False)
+        for i in range(len(at)):
+            inside = inside | F.coalesce((F.col("_v") >= F.col(f"_r{i}.lo")) & (F.col("_v") < F.col(f"_r{i}.hi")), F.lit(False))
+        joined = valid.alias("k").join(F.broadcast(wanted).alias("w") if few else wanted.alias("w"), _same("k", "w", by) & inside)
+        keyed = with_key(joined.select(*[F.col(f"k.{c}") for c in by], "_v"), "_v", "_k")
+        prefix = F.shiftright("_k", 64 - DIGIT_BITS * (round_no - 1))
+        counts = keyed.groupBy(*by, prefix.alias("prefix"), _digit(F.col("_k"), round_no).alias("digit")).agg(F.count("*").alias("n"))
         targets, few = _known(_follow(targets, counts, by, round_no))
     low = key_value(F.col("prefix") * F.lit(2 ** (64 - DIGIT_BITS * rounds)))
     error = F.lit(0.0 if rounds == ROUNDS else 2.0 ** (12 - DIGIT_BITS * rounds))

@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ozalid.llm.percentiles import classify, digit_counts, parse_number, percentiles, percentiles_of_counts
+from ozalid.llm.percentiles import classify, digit_counts, percentiles, percentiles_of_counts, with_number
 
 
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long form (metric, grp, day, v, status) of the three measured columns; one scan of each table."""
-    p = spark.read.parquet(f"{sf_dir}/predictions.parquet")
-    seconds = parse_number(F.col("inference_time"))
+    p = with_number(spark.read.parquet(f"{sf_dir}/predictions.parquet"), "inference_time", "seconds")
     blank = F.col("inference_time").isNull() | (F.trim("inference_time") == "")
-    one = p.select(F.lit("predictions.inference_time").alias("metric"), F.col("run_id").alias("grp"), F.to_date("written_at").alias("day"), seconds.alias("v"), blank.alias("m"))
+    one = p.select(F.lit("predictions.inference_time").alias("metric"), F.col("run_id").alias("grp"), F.to_date("written_at").alias("day"), F.col("seconds").alias("v"), blank.alias("m"))
     d = spark.read.parquet(f"{sf_dir}/diagnostics.parquet")
     both = F.explode(F.array(F.struct(F.lit("diagnostics.logit_margin").alias("metric"), F.col("logit_margin").alias("v")), F.struct(F.lit("diagnostics.inference_time").alias("metric"), F.col("inference_time").alias("v"))))
     two = d.select(both.alias("x"), F.col("modality").alias("grp"), F.to_date("logged_at").alias("day")).select("x.metric", "grp", "day", "x.v", F.col("x.v").isNull().alias("m"))
