@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ozalid.llm import q_canonical, q_groups, q_percentiles
+from ozalid.llm import q_canonical, q_cube, q_groups, q_percentiles
 
-MODULES = (q_groups, q_canonical, q_percentiles)
+MODULES = (q_cube, q_groups, q_canonical, q_percentiles)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
