@@ -49,7 +49,21 @@ def file_suffix(path: Column) -> Column:
 
 
 def seconds_text(seconds: Column) -> Column:
-    return F.format_string("%.4f", seconds)
+    """seconds with four decimals, rounded by the exact binary value as C and Python do, not by its shortest writing.
+
+    The two differ where the writing ends in a 5 on the fifth decimal. There 20000 * seconds is next to an odd
+    number, and the exact product (its rounding error from a split of the factor) says on which side the value lies.
+    """
+    p = seconds * 20000.0
+    odd = F.rint(p)
+    c = seconds * 134217729.0
+    high = c - (c - seconds)
+    side = (p - odd) + ((high * 20000.0 - p) + (seconds - high) * 20000.0)
+    below = F.floor(odd / 2)
+    even = F.when(below % 2 == 0, below).otherwise(below + 1)
+    chosen = F.when(side < 0, below).when(side > 0, below + 1).otherwise(even) / 10000.0
+    tie = (F.abs(p - odd) < 1e-6) & (F.abs(p) < 2.0**40) & (F.pmod(odd, F.lit(2.0)) == 1.0)
+    return F.when(seconds.isNotNull(), F.format_string("%.4f", F.when(tie, chosen).otherwise(seconds)))
 
 
 def python_bool(flag: Column) -> Column:

@@ -25,7 +25,8 @@ def case_split(df: DataFrame, case: str, fraction: float, seed: int, by: str | N
     if by:
         rank = F.row_number().over(Window.partitionBy(by).orderBy("_h", case))
         n = F.count("*").over(Window.partitionBy(by))
-        chosen = cases.withColumn("_r", rank).filter(F.col("_r") <= F.greatest(F.lit(1), F.rint(n * fraction))).drop("_r")
+        ranked = cases.withColumns({"_r": rank, "_n": n})
+        chosen = ranked.filter(F.col("_r") <= F.greatest(F.lit(1), F.rint(F.col("_n") * fraction))).drop("_r", "_n")
     else:
         total = cases.count()
         chosen = cases.orderBy("_h", case).limit(max(1, int(round(total * fraction))) if total else 0)

@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from ozalid.plans import q_data, q_questions, q_scoring, q_volumes
+
+MODULES = (q_questions, q_scoring, q_data, q_volumes)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
