@@ -77,45 +77,64 @@ def _names(spark: SparkSession, raw: str) -> DataFrame:
     return listed.select("path", F.element_at(part, -1).alias("name"), F.element_at(part, -2).alias("parent")).filter(~F.col("name").startswith("._"))
 
 
-# Folder names of the graded chest scans and what each grade means, and the classes of the breast scans.
-CT_GRADES = {"CT-0": "no involvement", "CT-1": "minimal involvement", "CT-2": "moderate involvement", "CT-3": "severe involvement", "CT-4": "critical involvement"}
-BREAST_CLASSES = ("benign", "malignant", "normal")
+# Folder names and the option letter of each, options, questions and modalities of the three layouts.
+CT_GRADES = {"CT-0": "A", "CT-1": "B", "CT-2": "C", "CT-3": "D", "CT-4": "D"}
+CT_OPTIONS = ("No significant involvement (normal lung)", "Mild involvement (ground-glass opacity, under 25% of lung parenchyma)", "Moderate involvement (ground-glass opacity, 25-50% of lung parenchyma)", "Severe involvement (opacity and consolidation, over 50% of lung parenchyma)")
+CT_QUESTION = "What is the severity of lung involvement (ground-glass opacification/consolidation) shown in this chest CT scan?"
+BRAIN_OPTIONS = ("Brain", "Chest/thorax", "Abdomen", "Pelvis")
+BRAIN_QUESTION = "Which anatomical region is primarily depicted in this MRI scan?"
+BREAST_CLASSES = {"benign": "A", "malignant": "B", "normal": "C"}
+BREAST_OPTIONS = ("Benign lesion", "Malignant lesion", "Normal tissue, no lesion")
+BREAST_QUESTION = "What does this breast ultrasound image most likely show?"
+
+
+def _mapped(key, table: dict[str, str]):
+    return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
 
 def graded_scans(spark: SparkSession, raw: str) -> DataFrame:
-    """(path, label) of NIfTI files whose folder names a grade, in any case, with - or _; others are skipped."""
+    """(path, letter) of NIfTI files whose folder names a grade, in any case, with - or _; others are skipped."""
     grade = F.upper(F.replace("parent", F.lit("_"), F.lit("-")))
-    labels = F.create_map(*[F.lit(x) for kv in CT_GRADES.items() for x in kv])
-    return _names(spark, raw).filter(F.lower("name").rlike(r"\.nii(\.gz)?$")).select("path", F.element_at(labels, grade).alias("label")).filter("label IS NOT NULL")
+    scans = _names(spark, raw).filter(F.lower("name").rlike(r"\.nii(\.gz)?$"))
+    return scans.select("path", _mapped(grade, CT_GRADES).alias("letter")).filter("letter IS NOT NULL")
 
 
-def brain_scans(spark: SparkSession, raw: str, label: str = "glioma") -> DataFrame:
-    """(path, label): files of imagesTr if there are any; else one NIfTI per case folder, FLAIR first, masks never."""
+def brain_scans(spark: SparkSession, raw: str) -> DataFrame:
+    """(path, letter): files of imagesTr if there are any; else one NIfTI per case folder, FLAIR first, masks never."""
     names = _names(spark, raw).filter(F.lower("name").rlike(r"\.nii(\.gz)?$"))
-    train = names.filter("parent = 'imagesTr'")
+    train = names.filter(F.col("parent") == "imagesTr")
     if not train.isEmpty():
-        return train.select("path", F.lit(label).alias("label"))
+        return train.select("path", F.lit("A").alias("letter"))
     usable = names.filter(~F.lower("name").contains("seg"))
     order = Window.partitionBy(F.regexp_replace("path", "/[^/]*$", "")).orderBy(F.lower("name").contains("flair").cast("int").desc(), "path")
-    return usable.withColumn("_r", F.row_number().over(order)).filter("_r = 1").select("path", F.lit(label).alias("label"))
-
-
-def class_folders(spark: SparkSession, raw: str, classes: tuple[str, ...] = BREAST_CLASSES) -> DataFrame:
-    """(path, label) of PNG files in folders named by class, in any case; masks are left out."""
-    parent = F.lower("parent")
-    return _names(spark, raw).filter(F.lower("name").endswith(".png") & ~F.lower("name").contains("mask") & parent.isin(*classes)).select("path", parent.alias("label"))
-
-
-#: Adapters by name; a new folder layout is one more entry that gives (path, label).
-ADAPTERS = {"graded_scans": graded_scans, "brain_scans": brain_scans, "class_folders": class_folders}
-
-
-def prepare_items(cases: DataFrame, name: str, question: str, labels: list[str], modality: str, fraction: float = 0.2, seed: int = 42) -> DataFrame:
-    """QA items with split (train, eval) of labelled files: options are the labels, gold the label's text."""
-    ids = numbered_ids(cases, name, "path")
-    split = case_split(ids, "question_id", fraction, seed)
-    options = [F.lit(labels[i] if i < len(labels) else None).cast("string").alias(f"option_{k}") for i, k in enumerate(LETTERS)]
-    return split.select(F.lit(name).alias("dataset"), "question_id", F.lit("External-Prepared").alias("question_type"), F.lit(question).alias("question"), F.col("label").alias("gt_answer"), F.col("path").alias("image_path"), *options, F.lit(modality).alias("modality_type"), "split")
+    return usable.withColumn("_r", F.row_number().over(order)).filter("_r = 1").select("path", F.lit("A").alias("letter"))
+
+
+def class_folders(spark: SparkSession, raw: str) -> DataFrame:
+    """(path, letter) of PNG files in folders named by class, in any case; masks are left out."""
+    pngs = _names(spark, raw).filter(F.lower("name").endswith(".png") & ~F.lower("name").contains("mask"))
+    return pngs.select("path", _mapped(F.lower("parent"), BREAST_CLASSES).alias("letter")).filter("letter IS NOT NULL")
+
+
+#: Layouts by dataset name: (scan, question, options, modality). A new one is one more entry.
+ADAPTERS = {
+    "MosMedData": (graded_scans, CT_QUESTION, CT_OPTIONS, "CT(Computed Tomography)"),
+    "BrainMRI": (brain_scans, BRAIN_QUESTION, BRAIN_OPTIONS, "MRI(Magnetic Resonance Imaging)"),
+    "BUSI": (class_folders, BREAST_QUESTION, BREAST_OPTIONS, "US(Ultrasound)"),
+}
+
+
+def prepare_items(spark: SparkSession, name: str, raw: str, fraction: float = 0.2, seed: int = 42) -> DataFrame:
+    """QA items with split (train, eval) of a labelled folder; gold is the option's text, ids follow the sorted paths."""
+    scan, question, options, modality = ADAPTERS[name]
+    cases = scan(spark, require_root(raw))
+    if cases.isEmpty():
+        raise FileNotFoundError(f"no {name} case below {raw}")
+    split = case_split(numbered_ids(cases, name, "path"), "path", fraction, seed)
+    texts = {k: options[i] if i < len(options) else None for i, k in enumerate(LETTERS)}
+    columns = [F.lit(t).cast("string").alias(f"option_{k}") for k, t in texts.items()]
+    gold = _mapped(F.col("letter"), {k: t for k, t in texts.items() if t})
+    return split.select(F.lit(name).alias("dataset"), "question_id", F.lit("External-Prepared").alias("question_type"), F.lit(question).alias("question"), gold.alias("gt_answer"), F.col("path").alias("image_path"), *columns, F.lit(modality).alias("modality_type"), "split")
 
 
 # -- sinks -----------------------------------------------------------------------------------------------------------
