@@ -12,19 +12,20 @@ from ozalid.functions.scalars import LETTERS, python_bool, seconds_text, strip
 from ozalid.operators.choices import choices_of
 from ozalid.operators.sampling import case_split, numbered_ids
 
-METADATA = T.StructType([T.StructField(c, T.StringType()) for c in ("query_id", "image", "question", *[f"choice_{k}" for k in LETTERS])])
+METADATA = ("query_id", "image", "question", *[f"choice_{k}" for k in LETTERS])
 ITEM = T.StructType([T.StructField(c, T.StringType()) for c in ("dataset", "question_id", "question_type", "question", "gt_answer", "image_path", *[f"option_{k}" for k in LETTERS], "modality_type")])
 DIAGNOSTIC = ("query_id", "answer", "gold", "correct", "inference_time", "predicted_modality", "predicted_intent", "n_choices", "fallback_triggered", "fallback_reason", "top1_logit", "top2_logit", "logit_margin")
 
 
 def read_metadata(spark: SparkSession, folder: str, name: str = "dev_metadata.csv") -> DataFrame:
     """The competition's CSV file (windows-1252, quoted line breaks): image stripped, question as it stands, choices as
-    an array. Needs spark.sql.legacy.javaCharsets=true, which build_session sets; columns beyond the known ones are
-    left out."""
+    an array. Needs spark.sql.legacy.javaCharsets=true, which build_session sets; columns are found by the header,
+    unknown ones are left out and absent ones NULL."""
     path = f"{folder}/{name}"
     if "://" not in path and not os.path.exists(path):
         raise FileNotFoundError(path)
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "windows-1252").option("enforceSchema", False).schema(METADATA).csv(path)
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "windows-1252").csv(path)
+    raw = raw.select(*[(F.col(f"`{c}`") if c in raw.columns else F.lit(None).cast("string")).alias(c) for c in METADATA])
     cell = strip(F.col("image"))
     return raw.select("query_id", F.when(cell != "", cell).alias("image"), "question", choices_of([F.col(f"choice_{k}") for k in LETTERS]).alias("choices"))
 
