@@ -64,6 +64,8 @@ class Dictionary:
         self.stems: dict[str, int] = {}
         self.deleted: dict[str, list[tuple[str, int]]] = defaultdict(list)
         self.longest = 1
+        self.widest = 0
+        self.word_deletions: set[str] = set()
         for term_id, name, short in sorted(entries, key=lambda e: (e[0], e[1])):
             words = _WORD.findall(fold(name))
             if not words:
@@ -77,12 +79,17 @@ class Dictionary:
             self.exact[joined] = term_id
             self.sorted.setdefault("".join(sorted(words)), term_id)
             self.stems.setdefault("".join(sorted(map(_stem, words))), term_id)
+            self.widest = max(self.widest, len(joined))
+            for word in {*words, joined}:
+                self.word_deletions |= deletions(word, 2 if len(word) > 5 else 1 if len(word) > 3 else 0)
             for form in {joined, "".join(sorted(words))}:
                 for d in deletions(form):
                     self.deleted[d].append((form, term_id))
 
     def near(self, text: str, most: float) -> tuple[float, int] | None:
         """(distance, term_id) of the best entry within `most`."""
+        if len(text) > self.widest + 5:  # more than any number of cheap insertions allows
+            return None
         found: dict[str, int] = {}
         for d in deletions(text):
             for form, term_id in self.deleted.get(d, ()):
@@ -91,6 +98,14 @@ class Dictionary:
         best = min((r for r in ranked if r[0] <= most), default=None)
         return best and (best[0], best[2])
 
+    def _like_a_word(self, word: str) -> bool:
+        """Whether word is near a word of the list: windows without such a word can't match."""
+        if len(word) > self.widest + 5:
+            return False
+        if word in self.word_deletions or _stem(word) in self.word_deletions:
+            return True
+        return len(word) > 3 and not self.word_deletions.isdisjoint(deletions(word, 2 if len(word) > 5 else 1))
+
     def _whole(self, words: list[str], whole: bool) -> tuple[float, int] | None:
         joined, ordered = "".join(words), "".join(sorted(words))
         if joined in self.exact:
@@ -129,10 +144,11 @@ class Dictionary:
             return 1, best[0], best[1]
         windows = []
         for words in readings:
+            likely = [self._like_a_word(w) for w in words]
             for n in range(min(self.longest + 1, len(words) - 1), 0, -1):
                 for i in range(len(words) - n + 1):
                     part = words[i : i + n]
-                    if h := self._whole(part, False):
+                    if any(likely[i : i + n]) and (h := self._whole(part, False)):
                         windows.append((h[0] - 0.5 * sum(map(len, part)), h[1]))
         if windows:
             return 2, *min(windows)
