@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +42,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it from there; survives the loss of any executor."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the workers, once per application, so that they can import it wherever the driver found it."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="ozalid-package-")
+    path = os.path.join(folder, "ozalid_package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for at, _, names in os.walk(home):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(at, name)
+                    z.write(full, os.path.join("ozalid", os.path.relpath(full, home)))
+    context.addPyFile(path)  # the driver serves the file; executors fetch it
+    _SHIPPED.add(context.applicationId)
