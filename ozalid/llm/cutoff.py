@@ -11,6 +11,7 @@ is a strict prefix of words that do was cut as well.
 from __future__ import annotations
 
 import re
+import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -33,6 +34,11 @@ PRIOR = 8.0
 #: end without a mark, the tail counts as cut.
 LEAST_END, LEAST_MARK, LEAST_STYLE = 0.05, 0.004, 0.12
 
+#: A last word counts as a part if longer words that begin with it stand so many times as often after the word before it.
+LONGER = 8
+#: Longest part of a word that is looked up among longer words.
+PART = 12
+
 _TOKEN = re.compile(r"\n+| - |[0-9]+(?:[.,:/][0-9]+)*(?![A-Za-z0-9])|[A-Za-z]*[0-9][A-Za-z0-9]*|[぀-ヿ㐀-鿿]|(?:(?![぀-ヿ㐀-鿿])[^\W\d_])+|\S")
 _DIGITS = frozenset("0123456789")
 #: A mark that says by itself that something is missing; read by the regular expressions of Java and Python alike.
@@ -59,10 +65,16 @@ def tokens(text: str) -> list[str]:
     return out
 
 
+def part_hash(part: str) -> int:
+    data = part.encode()
+    return zlib.crc32(data) << 32 | zlib.adler32(data)
+
+
 class Vocabulary:
     """Numbers for known words; unknown ones by class: capitalised, with digits around, other."""
 
     def __init__(self, words: list[str]):
+        self._parts: np.ndarray | None = None
         self.sorted = sorted(w for w in words if w != "\n")
         self.ids = {w: i + 16 for i, w in enumerate(self.sorted)}
         self.breaks = np.zeros(len(self.sorted) + 16, bool)
@@ -75,6 +87,16 @@ class Vocabulary:
         for w, i in self.ids.items():  # closing marks, smileys, symbols
             self.closes[i] = not w[0].isalnum() and w[0] not in "([{<'’\"-/=#*%|_ &+~@$"
 
+    def parts(self) -> np.ndarray:
+        """Hashes of the strict prefixes of every known word, up to PART characters; 0 where a word is no longer."""
+        if self._parts is None:
+            self._parts = np.zeros((len(self.sorted) + 16, PART), np.uint64)
+            for w, i in self.ids.items():
+                if w[0].isalpha():
+                    for k in range(1, min(len(w), PART + 1)):
+                        self._parts[i, k - 1] = part_hash(w[:k])
+        return self._parts
+
     def number(self, token: str) -> int:
         i = self.ids.get(token)
         if i is not None:
@@ -147,6 +169,18 @@ class Corpus:
         parts = ([back[0]], [back[0], *unit], back[:2], [*back[:2], *unit], back[:3], back[:4], back)
         return np.array([_hash(level, columns) for level, columns in enumerate(parts)])
 
+    def longer(self, where: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        """Hashes of (token before, strict prefix) for every prefix of the word at each position; 0 for none."""
+        before, prefixes = self.flat[where - 1], parts[np.minimum(self.flat[where], len(parts) - 1)]
+        h = _mix(_hash(LEVELS + 2, [before]).view(np.uint64)[:, None], prefixes)
+        return np.where(prefixes == 0, np.uint64(0), h).view(np.int64).ravel()
+
+    def last_parts(self, where: np.ndarray, words: list[str]) -> np.ndarray:
+        """The hash under which `longer` has the words that begin with the last one; 0 where it isn't such a word."""
+        parts = np.array([part_hash(w) if w[0].isalpha() and len(w) <= PART else 0 for w in words], np.uint64)
+        h = _mix(_hash(LEVELS + 2, [self.flat[where - 1]]).view(np.uint64), parts)
+        return np.where(parts == 0, np.uint64(0), h).view(np.int64)
+
     def styles(self, where: np.ndarray) -> np.ndarray:
         """Hashes of the clause's and the sentence's first two tokens at each position in `where`."""
         return np.array([_hash(LEVELS + k, self.two(at[where], where)) for k, at in enumerate((self.clause, self.sentence))])
@@ -167,12 +201,13 @@ def chance(seen: list[tuple[int, int]], base: float) -> float:
     return p
 
 
-def judge(kind: str, levels: list[tuple[int, int, int]], styles: list[tuple[int, int]], base: tuple[float, float]) -> tuple[bool, float, float]:
+def judge(kind: str, levels: list[tuple[int, int, int]], styles: list[tuple[int, int]], base: tuple[float, float], longer: int = 0) -> tuple[bool, float, float]:
     """(cut, chance of an end, share of such units that end without a mark) of a tail of `kind`.
 
     levels: (occurrences, e1, e2) with the text's own occurrence; styles: (units, units closed without a mark), likewise.
+    longer: how often a longer word that begins with the last one stands after the word before it.
     """
-    if kind == "part":
+    if kind == "part" or (kind == "word" and longer >= LONGER * levels[2][0]):
         return True, 0.0, 0.0
     if kind == "mark":
         p = chance([(n - 1, e1 - 1) for n, e1, _ in levels], base[0])
@@ -230,7 +265,8 @@ def _tails(shared):
             kinds = [tail_kind(t, v) for t in split]
             c = Corpus(split, v)
             at = np.flatnonzero(c.last) - np.array([k == "number" for k in kinds], np.int64)
-            hashes = np.concatenate([c.windows(at), c.styles(at)]).T
+            last = [t[-1] if k == "word" else "0" for t, k in zip(split, kinds, strict=True)]
+            hashes = np.concatenate([c.windows(at), c.styles(at), c.last_parts(at, last)[None, :]]).T
             yield pd.DataFrame({"key": pdf["key"].to_numpy(), "kind": kinds, "h": list(hashes)})
 
     return run
@@ -242,9 +278,12 @@ def _window_counts(shared, bitmap):
         for pdf in _chunks(batches, "s"):
             c = Corpus([tokens(s) for s in pdf["s"].array], v)
             where, closing = np.flatnonzero(c.inside), np.flatnonzero(c.closing)
-            h = np.concatenate([*c.windows(where), *c.styles(closing)])
-            e1 = np.concatenate([*[c.e1[where]] * LEVELS, *[c.good[closing]] * 2])
-            e2 = np.concatenate([*[c.e2[where]] * LEVELS, *[np.zeros(len(closing), bool)] * 2])
+            longer = c.longer(where, v.parts())
+            longer = longer[longer != 0]
+            h = np.concatenate([*c.windows(where), *c.styles(closing), longer])
+            no = np.zeros(2 * len(closing) + len(longer), bool)
+            e1 = np.concatenate([*[c.e1[where]] * LEVELS, *[c.good[closing]] * 2, no[: len(longer)]])
+            e2 = np.concatenate([*[c.e2[where]] * LEVELS, no])
             slot = h.view(np.uint64) % np.uint64(SLOTS)
             wanted = (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
             unique, back, n = np.unique(h[wanted], return_inverse=True, return_counts=True)
@@ -278,7 +317,7 @@ def truncated(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     shared = spark.sparkContext.broadcast(sorted(known))
     tails = cut_lineage(texts.select("key", "s").mapInPandas(_tails(shared), "key string, kind string, h array<long>"))
     open_tails = tails.filter("kind NOT IN ('whole', 'part')")
-    each = open_tails.select("key", F.posexplode("h").alias("level", "h"))
+    each = open_tails.select("key", F.posexplode("h").alias("level", "h")).filter("h <> 0")
     slot = F.pmod(F.col("h"), F.lit(SLOTS))
     # 2**64 is a multiple of SLOTS, so pmod of the signed hash is the unsigned remainder
     packed = each.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("b")).collect()
@@ -300,7 +339,8 @@ def truncated(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
             got = {r["level"]: r for r in rows}
             levels = [(r["n"], r["e1"], r["e2"]) if (r := got.get(i)) else (1, 1, 1) for i in range(LEVELS)]
             styles = [(r["n"], r["e1"]) if (r := got.get(LEVELS + k)) else (1, 1) for k in range(2)]
-            out.append(judge(kind, levels, styles, rates)[0])
+            longer = got[LEVELS + 2]["n"] if LEVELS + 2 in got else 0
+            out.append(judge(kind, levels, styles, rates, longer)[0])
         return pd.Series(out)
 
     judged = open_tails.select("key", "kind").join(met, "key").select("key", is_cut("kind", "seen").alias("cut"))
