@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ozalid.functions.scalars import seeded_hash
+from ozalid.session import cut_lineage
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
@@ -29,7 +30,8 @@ def case_split(df: DataFrame, case: str, fraction: float, seed: int, by: str | N
         chosen = ranked.filter(F.col("_r") <= F.greatest(F.lit(1), F.rint(F.col("_n") * fraction))).drop("_r", "_n")
     else:
         total = cases.count()
-        chosen = cases.orderBy("_h", case).limit(max(1, int(round(total * fraction))) if total else 0)
+        evals = max(1, int(round(total * fraction))) if total else 0
+        chosen = global_rank(cases, ["_h", case], "_r").filter(F.col("_r") <= evals).drop("_r")
     marked = chosen.select(*keys, case).withColumn("_e", F.lit(True))
     return df.join(marked, [*keys, case], "left").withColumn("split", F.when(F.col("_e"), "eval").otherwise("train")).drop("_e")
 
@@ -41,22 +43,25 @@ def first_per_group(df: DataFrame, by: list[str], order: list[Column]) -> DataFr
     return keyed.groupBy(*by).agg(F.min("_s").alias("_s")).select(*by, *[F.col(f"_s.{c}").alias(c) for c in rest])
 
 
-def numbered_ids(df: DataFrame, name: str, order: str) -> DataFrame:
-    """df with question_id '<name>_00000', '<name>_00001', ... in the order of a unique column.
-
-    Row numbers over a whole table without one task sorting it: range partitions, counts per partition, offsets.
-    """
+def global_rank(df: DataFrame, order: list[str], out: str = "rank") -> DataFrame:
+    """df with its 1-based rank in the order of unique columns, without one task sorting it all: range partitions, a
+    count per partition, offsets from those counts."""
     spark = df.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(parts, order).withColumn("_p", F.spark_partition_id())
+    ranged = cut_lineage(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()))
     sizes = {r["_p"]: r["n"] for r in ranged.groupBy("_p").agg(F.count("*").alias("n")).collect()}
     at, offsets = 0, []
     for p in range(parts):
         offsets.append((p, at))
         at += sizes.get(p, 0)
-    table = spark.createDataFrame(offsets, "_p int, _o long")
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1
-    return ranged.withColumn("_r", rank).join(F.broadcast(table), "_p").withColumn("question_id", F.format_string(f"{name}_%05d", F.col("_r") + F.col("_o"))).drop("_p", "_r", "_o")
+    table = spark.createDataFrame(offsets, "_p int, _o long")  # one row per partition
+    within = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return ranged.withColumn("_w", within).join(F.broadcast(table), "_p").withColumn(out, F.col("_w") + F.col("_o")).drop("_p", "_w", "_o")
+
+
+def numbered_ids(df: DataFrame, name: str, order: str) -> DataFrame:
+    """df with question_id '<name>_00000', '<name>_00001', ... in the order of a unique column."""
+    return global_rank(df, [order], "_r").withColumn("question_id", F.format_string(f"{name}_%05d", F.col("_r") - 1)).drop("_r")
 
 
 def overlap_by_hash(left: DataFrame, right: DataFrame, content: str) -> DataFrame:
