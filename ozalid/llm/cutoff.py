@@ -233,7 +233,7 @@ def tail_kind(tokens: list[str], vocabulary: Vocabulary) -> str:
 # -- the distributed steps -------------------------------------------------------------------------------------------
 
 
-def _chunks(batches: Iterator[pd.DataFrame], column: str, characters: int = 1_000_000) -> Iterator[pd.DataFrame]:
+def _chunks(batches: Iterator[pd.DataFrame], column: str, characters: int = 500_000) -> Iterator[pd.DataFrame]:
     """Rows in runs of about so many characters: what is held at once doesn't depend on the batch size."""
     for pdf in batches:
         sizes = pdf[column].str.len().cumsum().to_numpy() // characters
