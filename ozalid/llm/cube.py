@@ -121,7 +121,7 @@ def allocate(members: DataFrame, targets: DataFrame, rows: int) -> list[dict]:
     """The rows of targets with available, size, needed, draw and short. members: plan_id, category, key, distinct."""
     wanted = targets.select("plan_id", "field", "category", "target_share", "min_rows", "sample_fraction").filter("plan_id IS NOT NULL AND category IS NOT NULL AND target_share IS NOT NULL")
     wanted = wanted.withColumn("min_rows", F.coalesce("min_rows", F.lit(0)))
-    names = F.broadcast(wanted.select("plan_id", "category").distinct())
+    names = wanted.select("plan_id", "category").distinct()
     counts = members.join(names, ["plan_id", "category"], "left_semi").groupBy("plan_id", "category").agg(F.count("*").alias("available"))
     got = wanted.join(counts, ["plan_id", "category"], "left").withColumn("available", F.coalesce("available", F.lit(0))).orderBy("plan_id", "category").limit(MOST_TARGETS + 1).collect()
     if len(got) > MOST_TARGETS:

@@ -17,7 +17,7 @@ def mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = latest_rows(spark.read.parquet(f"{sf_dir}/qa_items.parquet"), "question_id", "loaded_at", list(FIELDS))
     long = items.select("question_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in FIELDS])).alias("x")).select("question_id", "x.*")
     letter = (F.col("field") == "gt_answer") & F.col("value").rlike(r"^\s*[A-Da-d]\s*$")
-    written = F.broadcast(terms.filter("name IS NOT NULL").select(F.col("name").alias("value")).distinct())  # fixed: 121 names
+    written = terms.filter("name IS NOT NULL").select(F.col("name").alias("value")).distinct()
     cases = long.filter(F.col("value").rlike(r"\S") & ~letter).join(written, "value", "left_anti")
     return map_values(cases, "value", terms, used=use_counts(items, list(FIELDS), terms))
 
