@@ -43,6 +43,15 @@ def to_rgb(data: np.ndarray) -> np.ndarray:
     return image.astype(np.uint8)
 
 
+def load_stains(path: str) -> np.ndarray:
+    """A site's own 3 x 2 stain matrix from a .npy file; the published one if there is none or it has another shape."""
+    try:
+        found = np.load(path)
+    except (OSError, ValueError):
+        return STAINS
+    return found if found.shape == STAINS.shape else STAINS
+
+
 def bounded(rgb: np.ndarray) -> np.ndarray:
     return pixels.resize(rgb, *pixels.bounded_size(*rgb.shape[:2]), how="lanczos")
 

@@ -86,3 +86,21 @@ def to_byte(value: Column, lo: Column, hi: Column, least: Column, most: Column)
     plain = (value - least) / span * 255.0
     inside = (clamp(value, lo, hi) - lo) / F.nullif(hi - lo, F.lit(0.0)) * 255.0
     return F.when(hi <= lo, plain).otherwise(inside).cast("int")
+
+
+# Keywords of a question and the (centre, width) of the CT window that shows what it asks about.
+CT_WINDOWS = (
+    (("lung", "pulmonary", "nodule", "pneumothorax", "emphysema"), (-600, 1500)),
+    (("brain", "cerebral", "hemorrhage", "stroke", "ventricle"), (40, 80)),
+    (("bone", "fracture", "vertebra", "cortical", "lytic"), (400, 2000)),
+    (("liver", "kidney", "spleen", "abdomen", "bowel"), (60, 400)),
+)
+
+
+def keyword_window(question: Column) -> Column:
+    """struct<lo, hi> of the first window with a keyword in the question, NULL if none has one."""
+    out = F.lit(None).cast("struct<lo: int, hi: int>")
+    for words, (centre, width) in reversed(CT_WINDOWS):
+        bounds = F.struct(F.lit(centre - width // 2).alias("lo"), F.lit(centre + width // 2).alias("hi"))
+        out = F.when(F.lower(question).rlike("|".join(words)), bounds).otherwise(out)
+    return out

@@ -26,10 +26,12 @@ _MEASURED = ("saturation_mean", "saturation_std", "grayscale_deviation", "border
 FEATURES = ", ".join(f"{f} double" for f in _MEASURED) + ", has_vignette boolean"
 
 
-def stream_of(f: dict, native: bool = False) -> str:
-    """The stream of greatest score, the same weights as routing.stream_scores, for use beside the pixels."""
+def stream_of(f: dict, native: bool = False, boost: Callable[[dict, dict], dict] | None = None) -> str:
+    """The stream of greatest score, the same weights as routing.stream_scores, for use beside the pixels. boost, a
+    learned router, may change the scores by stream, given the features."""
     derived = dict(f) | {"grayness": 0.6 * (1 - f["saturation_mean"]) + 0.4 * (1 - f["grayscale_deviation"]), "stain": max(f["purple_pink_fraction"], f["blue_ihc_fraction"]), "vignette": float(f["has_vignette"]), "native": float(native)}
     scores = {s: sum(w * derived[name] for name, w in parts.items()) for s, parts in WEIGHTS.items()}
+    scores = boost(f, scores) if boost else scores
     return max(STREAMS, key=lambda s: scores[s])
 
 

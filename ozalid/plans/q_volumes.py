@@ -115,7 +115,13 @@ def projection_policies(spark, sf_dir):
     return mip.join(F.broadcast(full), "volume").select("volume", "cell", F.round("brightest", 6).alias("brightest"), F.col("m.slice").alias("fullest"), "middle")
 
 
-QUERIES = {f.__name__: f for f in (percentile_window, slice_scores_minmax, slice_topk_min_gap, fixed_depth_indexes, strided_candidates, series_order, majority_shape, rescale_invert, weighted_stream_scores, subtype_default_lookup, hist_entropy, masked_fraction, projection_policies)}
+def ct_keyword_windows(spark, sf_dir):
+    """Documents by the window that their text asks for (an extension)."""
+    d = table(spark, sf_dir, "documents").withColumn("w", vol.keyword_window(F.col("text")))
+    return d.groupBy(F.col("w.lo").alias("lo"), F.col("w.hi").alias("hi")).agg(F.count("*").alias("documents"))
+
+
+QUERIES = {f.__name__: f for f in (ct_keyword_windows, percentile_window, slice_scores_minmax, slice_topk_min_gap, fixed_depth_indexes, strided_candidates, series_order, majority_shape, rescale_invert, weighted_stream_scores, subtype_default_lookup, hist_entropy, masked_fraction, projection_policies)}
 
 _S = "s AS (SELECT event_type AS volume, date_diff('day', DATE '2024-01-01', ts::DATE) AS slice, event_id, value FROM events WHERE value IS NOT NULL)"
 _SCORED = f"""{_S}, d AS (SELECT *, abs(value - lag(value) OVER (PARTITION BY volume, slice ORDER BY event_id)) AS e FROM s),
@@ -125,7 +131,10 @@ f AS (SELECT *, round(v + e, 6) AS score FROM m)"""
 _GAP = "greatest(1, round_even(0.1::DOUBLE * f.depth, 0))"
 _N = "p_partkey"
 _FX = {k: f"(({_N} * {m}) % 101) / 100.0" for k, m in (("sm", 7), ("ss", 11), ("gd", 13), ("bd", 17), ("tr", 19), ("he", 23), ("pp", 29), ("bi", 31), ("sr", 37))}
+_CT = " ".join(f"WHEN regexp_matches(lower(text), '{'|'.join(words)}') THEN {c} - {w} // 2" for words, (c, w) in vol.CT_WINDOWS)
+_CT_HI = " ".join(f"WHEN regexp_matches(lower(text), '{'|'.join(words)}') THEN {c} + {w} // 2" for words, (c, w) in vol.CT_WINDOWS)
 ORACLE = {
+    "ct_keyword_windows": f"SELECT (CASE {_CT} END)::INT AS lo, (CASE {_CT_HI} END)::INT AS hi, count(*) AS documents FROM documents GROUP BY ALL",
     "percentile_window": f"""WITH {_S}, b AS (SELECT volume, quantile_cont(value, 0.005) AS lo, quantile_cont(value, 0.995) AS hi, min(value) AS a, max(value) AS z FROM s GROUP BY 1)
 SELECT event_id, trunc(CASE WHEN hi <= lo THEN (value - a) / (CASE WHEN z > a THEN z - a ELSE 1 END) * 255.0 ELSE (least(greatest(value, lo), hi) - lo) / (hi - lo) * 255.0 END)::INT AS byte FROM s JOIN b USING (volume)""",
     "slice_scores_minmax": f"WITH {_SCORED} SELECT volume, slice, variance, edges, score FROM f",

@@ -34,12 +34,13 @@ def files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFra
 
 
 def kind_of(path: Column, content: Column) -> Column:
-    """nifti, dicom, channel or raster by the name; of unknown suffixes, dicom by the mark at byte 128; else other."""
+    """nifti, dicom, channel or raster by the name; of unknown suffixes, dicom by the mark at byte 128, nifti by that at
+    byte 344; else other."""
     name = F.lower(F.element_at(F.split(path, "/"), -1))
     suffix = F.regexp_extract(name, r"(\.[^.]+)$", 1)
     return (
         F.when(name.rlike(r"\.nii(\.gz)?$"), "nifti").when(suffix.isin(".dcm", ".dicom"), "dicom").when(name.rlike(CHANNEL), "channel").when(suffix.isin(*RASTERS), "raster")
-        .when(F.substring(content, 129, 4) == F.lit(b"DICM"), "dicom").otherwise("other")
+        .when(F.substring(content, 129, 4) == F.lit(b"DICM"), "dicom").when(F.substring(content, 345, 4).isin(b"n+1\0", b"ni1\0"), "nifti").otherwise("other")
     )
 
 

@@ -198,3 +198,11 @@ def test_series():
     assert images.series_picture(parts).shape == (4, 12, 3)
     with pytest.raises(formats.DecodeError):
         images.series_picture([("a", b"x")])
+
+
+def test_stain_file(tmp_path):
+    assert (enhance.load_stains(str(tmp_path / "none.npy")) == enhance.STAINS).all()
+    np.save(tmp_path / "bad.npy", np.ones((2, 2)))
+    assert (enhance.load_stains(str(tmp_path / "bad.npy")) == enhance.STAINS).all()
+    np.save(tmp_path / "own.npy", np.ones((3, 2)))
+    assert (enhance.load_stains(str(tmp_path / "own.npy")) == 1).all()

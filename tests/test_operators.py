@@ -104,6 +104,8 @@ def test_bootstrap(spark):
     assert ev.bootstrap_counts(0, 0) == (0.0, 0.0)
     low, high = ev.bootstrap_counts(1000, 600)
     assert 56 < low < 58 and 62 < high < 64
+    exact, drawn = ev.bootstrap_flags([1] * 600 + [0] * 400), ev.bootstrap_counts(1000, 600)
+    assert all(abs(a - b) < 0.4 for a, b in zip(exact, drawn, strict=True)) and ev.bootstrap_flags([]) == (0.0, 0.0)
     df = spark.createDataFrame([("x", True)] * 3 + [("y", None)], "m string, correct boolean")
     got = {r["m"]: (r["n"], r["low"], r["high"]) for r in ev.bootstrap(df, ["m"]).collect()}
     assert got == {"x": (3, 100.0, 100.0), "y": (0, 0.0, 0.0)}
