@@ -30,16 +30,20 @@ def track_scores(question: Column, phrases: dict[str, tuple[str, ...]] = PHRASES
     return F.array(*[F.struct(F.lit(t).alias("track"), s.alias("score")) for t, s in hit.items()])
 
 
+def _best(scores: Column, label: str, score: str) -> Column:
+    """struct<s, i, l> of the greatest score, of equal ones the earliest; scores is evaluated once."""
+    return F.array_max(F.transform(scores, lambda x, i: F.struct(x[score].alias("s"), (-i).alias("i"), x[label].alias("l"))))
+
+
 def best_label(scores: Column, label: str, score: str) -> Column:
     """The label of the greatest score; of equal ones the earliest."""
-    top = F.array_max(F.transform(scores, lambda s: s[score]))
-    return F.get(F.filter(scores, lambda s: s[score] == top), F.lit(0))[label]
+    return _best(scores, label, score)["l"]
 
 
 def phrase_track(question: Column, phrases: dict[str, tuple[str, ...]] = PHRASES) -> Column:
     """The track with most phrases, NULL if there is none at all."""
-    scores = track_scores(question, phrases)
-    return F.when(F.array_max(F.transform(scores, lambda s: s["score"])) > 0, best_label(scores, "track", "score"))
+    best = F.array(_best(track_scores(question, phrases), "track", "score"))
+    return F.get(F.filter(best, lambda b: b["s"] > 0), F.lit(0))["l"]
 
 
 def with_track(df: DataFrame, question: str, fallback, phrases: dict[str, tuple[str, ...]] = PHRASES, out: str = "track") -> DataFrame:
