@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,10 +30,14 @@ _ABBREVIATION = re.compile(r"\W*\b(abbr|abbreviation|abk)\b\W*")
 
 
 def deletions(text: str, edits: int = EDITS) -> set[str]:
-    """text with up to `edits` characters deleted."""
-    out = {text}
-    for n in range(1, min(edits, len(text) - 1) + 1):
-        out |= {"".join(c for i, c in enumerate(text) if i not in gone) for gone in map(set, combinations(range(len(text)), n))}
+    """text with up to `edits` (at most two) characters deleted, but never all of them."""
+    out, n = {text}, len(text)
+    if edits > 0 and n > 1:
+        out.update([text[:i] + text[i + 1 :] for i in range(n)])
+    if edits > 1 and n > 2:
+        for i in range(n - 1):
+            head, tail = text[:i], text[i + 1 :]
+            out.update([head + tail[:j] + tail[j + 1 :] for j in range(len(tail))])
     return out
 
 
