@@ -4,12 +4,13 @@ A cut text ends with words that elsewhere go on: its tail is a strict prefix of
 numbers, so windows of tokens are compared, not whole texts. Windows of fixed lengths before every position of the
 corpus are hashed; joined to the hashed tails, they say how often the same words went on and how often a text ended
 there. The chance of an end given the tail is estimated from the shortest window to the longest, each text leaving
-itself out; where it is as small as a random cut's, the text was cut. A last word that never stands inside a text and
+itself and its near copies out; where it is as small as a random cut's, the text was cut. A last word that never stands inside a text and
 is a strict prefix of words that do was cut as well.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from bisect import bisect_left
@@ -36,6 +37,9 @@ LEAST_END, LEAST_MARK, LEAST_STYLE = 0.05, 0.004, 0.12
 
 #: A last word counts as a part if longer words that begin with it stand so many times as often after the word before it.
 LONGER = 8
+#: Texts whose last so many tokens are equal but for numbers, names and white space are near copies: they end where they do
+#: for one reason, and are no evidence for each other.
+COPY = 12
 #: Longest part of a word that is looked up among longer words.
 PART = 12
 
@@ -70,6 +74,18 @@ def part_hash(part: str) -> int:
     return zlib.crc32(data) << 32 | zlib.adler32(data)
 
 
+def copy_class(split: list[str]) -> int:
+    """A hash of the last COPY tokens with numbers and runs of capitalised words as one token each."""
+    out: list[str] = []
+    for t in reversed(split):
+        t = "X" if t == "X0" or (t[0].isupper() and len(t) > 1) else t
+        if t != "X" or not out or out[-1] != "X":
+            if len(out) == COPY:
+                break
+            out.append(t)
+    return int.from_bytes(hashlib.blake2b(" ".join(out).encode(), digest_size=8).digest(), "big", signed=True)
+
+
 class Vocabulary:
     """Numbers for known words; unknown ones by class: capitalised, with digits around, other."""
 
@@ -204,7 +220,7 @@ def chance(seen: list[tuple[int, int]], base: float) -> float:
 def judge(kind: str, levels: list[tuple[int, int, int]], styles: list[tuple[int, int]], base: tuple[float, float], longer: int = 0) -> tuple[bool, float, float]:
     """(cut, chance of an end, share of such units that end without a mark) of a tail of `kind`.
 
-    levels: (occurrences, e1, e2) with the text's own occurrence; styles: (units, units closed without a mark), likewise.
+    levels: (occurrences, e1, e2) with the text's own occurrence, but not its near copies'; styles: (units, units closed without a mark), likewise.
     longer: how often a longer word that begins with the last one stands after the word before it.
     """
     if kind == "part" or (kind == "word" and longer >= LONGER * levels[2][0]):
@@ -267,7 +283,7 @@ def _tails(shared):
             at = np.flatnonzero(c.last) - np.array([k == "number" for k in kinds], np.int64)
             last = [t[-1] if k == "word" else "0" for t, k in zip(split, kinds, strict=True)]
             hashes = np.concatenate([c.windows(at), c.styles(at), c.last_parts(at, last)[None, :]]).T
-            yield pd.DataFrame({"key": pdf["key"].to_numpy(), "kind": kinds, "h": list(hashes)})
+            yield pd.DataFrame({"key": pdf["key"].to_numpy(), "kind": kinds, "copy": [copy_class(t) for t in split], "h": list(hashes)})
 
     return run
 
@@ -299,7 +315,7 @@ def truncated(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """The columns `keep` of the rows of df whose text was cut.
 
     NULL, empty and blank texts, and texts of marks alone, are none. Equal texts get equal answers and count once in the
-    statistics, which run over the whole texts of all rows. An empty table gives an empty result. A corpus in which
+    statistics, which run over the whole texts of all rows; near copies of a text are left out when it is judged. An empty table gives an empty result. A corpus in which
     nothing recurs gives no evidence, so only broken characters and bracketed marks of omission count there.
     """
     spark = df.sparkSession
@@ -315,9 +331,9 @@ def truncated(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     known = [r["word"] for r in words.filter(F.col("n") >= max(2, KNOWN_SHARE * total)).select("word").collect()]
     shared = spark.sparkContext.broadcast(sorted(known))
-    tails = cut_lineage(texts.select("key", "s").mapInPandas(_tails(shared), "key string, kind string, h array<long>"))
+    tails = cut_lineage(texts.select("key", "s").mapInPandas(_tails(shared), "key string, kind string, copy long, h array<long>"))
     open_tails = tails.filter("kind NOT IN ('whole', 'part')")
-    each = open_tails.select("key", F.posexplode("h").alias("level", "h")).filter("h <> 0")
+    each = open_tails.select("key", "copy", F.posexplode("h").alias("level", "h")).filter("h <> 0").withColumn("own", F.xxhash64("copy", "h"))
     slot = F.pmod(F.col("h"), F.lit(SLOTS))
     # 2**64 is a multiple of SLOTS, so pmod of the signed hash is the unsigned remainder
     packed = each.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("b")).collect()
@@ -327,10 +343,16 @@ def truncated(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     counts = cut_lineage(texts.select("s").mapInPandas(_window_counts(shared, spark.sparkContext.broadcast(bits)), "h long, n long, e1 long, e2 long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("e1").alias("e1"), F.sum("e2").alias("e2")))
     row = counts.filter("h = 0").first()
     rates = (row["e1"] / row["n"], row["e2"] / row["n"]) if row and row["n"] else (0.0, 0.0)
-    used = each.groupBy("h").agg(F.count("*").alias("tails"))
+    # one row per window and class of near copies: its counts without those of the other tails of the class
+    classes = cut_lineage(each.groupBy("own", "h").agg(F.count("*").alias("tails")))
+    used = classes.groupBy("h").agg(F.count("*").alias("classes"))
     table = cut_lineage(used.join(counts, "h"))
-    tails_total = table.agg(F.coalesce(F.sum("tails"), F.lit(0))).first()[0]
-    met = join_by_share(each, table, "h", "tails", tails_total).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("level", "n", "e1", "e2"))).alias("seen"))
+    each_class = join_by_share(classes, table, "h", "classes", classes.count())
+    other = F.when(F.col("level") == LEVELS + 2, 0).otherwise(F.col("tails") - 1)  # longer words are never tails themselves
+    tails_total = classes.agg(F.coalesce(F.sum("tails"), F.lit(0))).first()[0]
+    met = join_by_share(each.select("key", "level", "own"), each_class.select("own", F.col("tails").alias("rows"), "tails", "n", "e1", "e2"), "own", "rows", tails_total)
+    met = met.select("key", "level", *[(F.col(c) - other).alias(c) for c in ("n", "e1", "e2")])
+    met = met.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("level", "n", "e1", "e2"))).alias("seen"))
 
     @F.pandas_udf("boolean")
     def is_cut(kinds: pd.Series, seen: pd.Series) -> pd.Series:

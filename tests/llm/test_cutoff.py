@@ -66,3 +66,13 @@ def test_small_tables(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "Some words [...]"), (3, "x" * 100_000), (4, None)], "doc_id long, text string")
     assert {r["doc_id"] for r in truncated(df, "text", ["doc_id"]).collect()} >= {2}
     assert truncated(df.limit(0), "text", ["doc_id"]).count() == 0
+
+
+def test_near_copies_cut_at_one_place(spark):
+    """A template cut between words in some hundred texts that differ in numbers and names: they don't vouch for each other."""
+    rng, texts = corpus(2, 900)
+    names = ["Meyer", "Okafor", "Lind", "Rossi", "Novak", "Tanaka"]
+    cut = [f"Patient {rng.choice(names)} was seen on day {i}. Slice thickness was {i / 7:.1f} mm with an overlap" for i in range(300)]
+    rows = [*enumerate(texts), *((5000 + i, t) for i, t in enumerate(cut))]
+    got = {r["doc_id"] for r in truncated(spark.createDataFrame(rows, "doc_id long, text string"), "text", ["doc_id"]).collect()}
+    assert {5000 + i for i in range(300)} <= got and len([i for i in got if i < 5000]) <= 5
