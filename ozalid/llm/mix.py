@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from ozalid.operators.skew import salted_rank
 from ozalid.session import cut_lineage
 
-#: Tokens left to the dynamic program, and the most different sizes it looks at; both bound the driver's work.
+#: Tokens left to the dynamic program, and the most different sizes it looks at before it takes all; both bound the driver's work.
 WINDOW = 1 << 16
 MOST_SIZES = 256
+#: Bits that the dynamic program may hold for sums above 4 * WINDOW: 128 MB.
+MOST_BITS = 1 << 30
 #: Most rows of a table of targets.
 MOST_TARGETS = 100_000
 #: Most different (source, size) pairs that the driver plans with, some 50 bytes each; only sources of a plan count, whose sizes are as many as there are different lengths.
@@ -55,10 +57,32 @@ def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
 def knapsack(counts: dict[int, int], budget: int) -> dict[int, int]:
     """Bounded knapsack: numbers of each size with the largest sum at most budget. Reachable sums are the bits of one
     integer per step; multiplicities are split into powers of two, so a step is a shift and an or."""
-    budget = min(budget, 4 * WINDOW)
-    sizes = sorted(s for s in counts if s <= budget)
-    if len(sizes) > MOST_SIZES:  # spread over all sizes, the small ones first as they fill gaps
-        sizes = sizes[: MOST_SIZES // 2] + sizes[MOST_SIZES // 2 :: max(1, len(sizes) // (MOST_SIZES // 2))]
+    out: dict[int, int] = {}
+    steps = sum(min(n, budget // s).bit_length() for s, n in counts.items())
+    if budget > 4 * WINDOW and steps * budget > MOST_BITS:  # too much for the program: the largest documents that fit first
+        for s in sorted(counts, reverse=True):
+            if budget <= 4 * WINDOW:
+                break
+            if more := min(counts[s], budget // s):
+                out[s] = more
+                budget -= more * s
+        counts = {s: n - out.get(s, 0) for s, n in counts.items() if n > out.get(s, 0)}
+    for s, n in _nearest(counts, budget).items():
+        out[s] = out.get(s, 0) + n
+    return out
+
+
+def _nearest(counts: dict[int, int], budget: int) -> dict[int, int]:
+    every = sorted(s for s in counts if s <= budget)
+    if len(every) > MOST_SIZES:  # spread over all sizes, the small ones first as they fill gaps
+        some = every[: MOST_SIZES // 2] + every[MOST_SIZES // 2 :: max(1, len(every) // (MOST_SIZES // 2))]
+        out = _fill(counts, some, budget)
+        if sum(s * n for s, n in out.items()) == budget:
+            return out
+    return _fill(counts, every, budget)
+
+
+def _fill(counts: dict[int, int], sizes: list[int], budget: int) -> dict[int, int]:
     mask = (1 << (budget + 1)) - 1
     steps: list[tuple[int, int, int]] = []  # size, number, sums reachable before
     reach = 1
@@ -66,8 +90,10 @@ def knapsack(counts: dict[int, int], budget: int) -> dict[int, int]:
         n, k = min(counts[s], budget // s), 1
         while n > 0:
             k = min(k, n)
-            steps.append((s, k, reach))
-            reach |= (reach << (s * k)) & mask
+            more = reach | (reach << (s * k)) & mask
+            if more != reach:
+                steps.append((s, k, reach))
+                reach = more
             n -= k
             k *= 2
         if reach >> budget & 1:

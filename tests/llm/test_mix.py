@@ -54,3 +54,13 @@ def test_nothing(spark):
     sized = spark.createDataFrame([], "doc_id long, source string, n_tokens int")
     drawn, report = mixture(sized, spark.createDataFrame([("p", "a", 0.5, 1, 1.0)], PLAN))
     assert drawn.count() == 0 and report.first()["short"]
+
+
+def test_documents_above_the_window():
+    assert fit({1_000_000: 3}, 2_010_000) == {1_000_000: 2}
+    assert knapsack({400_000: 1, 300_000: 2}, 600_000) == {300_000: 2}
+
+
+def test_all_sizes_where_some_do_not_reach():
+    counts = {s: 1 for s in range(2000, 4000, 2)} | {3331: 1}
+    assert sum(s * n for s, n in knapsack(counts, 3331).items()) == 3331
