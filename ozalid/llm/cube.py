@@ -2,8 +2,8 @@
 
 Every record starts with the inclusion probability draw / available of its category, kept as an integer numerator. A
 flight phase moves two open records of one category along the kernel of the indicator constraints (what one gains the
-other loses) until one of them is decided, so each category's sum is kept exactly. Flights run in every partition at
-once; a partition leaves at most one open record per plan and category. These merge upward, FAN_IN partitions into one,
+other loses) until one of them is decided, so each category's sum is kept exactly. As a plan samples by one field, its
+indicators don't overlap and every kernel vector has this form. Flights run in every partition at once; a partition leaves at most one open record per plan and category. These merge upward, FAN_IN partitions into one,
 and fly again; landing decides what is open at the end. As numerators are integers and sums of draws whole, the residual
 imbalance after landing is 0 unless a plan asks for fractions, and the report states it.
 """
@@ -27,7 +27,7 @@ _SHAPE = "plan_id string, category string, key string, h long, num long, den lon
 
 
 def needs(plan: list[dict], rows: int) -> list[dict]:
-    """Adds size, needed, draw and short to the rows of one plan (target_share, min_rows, sample_fraction, available).
+    """Adds size, needed, draw and gave_way to the rows of one plan (target_share, min_rows, sample_fraction, available).
 
     needed is the larger of ceil(target_share * size) and min_rows, in doubles. Where fewer rows are there, all are
     drawn. If the draws exceed the size, categories furthest above their exact share give way down to min_rows; if they
@@ -36,7 +36,6 @@ def needs(plan: list[dict], rows: int) -> list[dict]:
     size = math.floor(plan[0]["sample_fraction"] * rows)
     out = [dict(r, size=size, needed=max(math.ceil(r["target_share"] * size), r["min_rows"])) for r in plan]
     for r in out:
-        r["short"] = r["available"] < r["needed"]
         r["draw"] = min(r["needed"], r["available"])
     over = sum(r["draw"] for r in out) - size
     while over > 0:
@@ -60,6 +59,8 @@ def needs(plan: list[dict], rows: int) -> list[dict]:
             r["draw"] += more
             given += more
         left -= given
+    for r in out:
+        r["gave_way"] = max(0, min(r["needed"], r["available"]) - r["draw"])
     return out
 
 
@@ -118,7 +119,7 @@ def _fly(salt: int, land: bool):
 
 
 def allocate(members: DataFrame, targets: DataFrame, rows: int) -> list[dict]:
-    """The rows of targets with available, size, needed, draw and short. members: plan_id, category, key, distinct."""
+    """The rows of targets with available, size, needed, draw and gave_way. members: plan_id, category, key, distinct."""
     wanted = targets.select("plan_id", "field", "category", "target_share", "min_rows", "sample_fraction").filter("plan_id IS NOT NULL AND category IS NOT NULL AND target_share IS NOT NULL")
     wanted = wanted.withColumn("min_rows", F.coalesce("min_rows", F.lit(0)))
     names = wanted.select("plan_id", "category").distinct()
@@ -137,8 +138,9 @@ def cube_sample(members: DataFrame, targets: DataFrame, rows: int, seed: int = 0
 
     members: plan_id, category, key; each key once per plan, keys not NULL; NULL categories are never drawn. rows: the
     number N of distinct keys that sample_fraction applies to. sample: plan_id, category, key. report: a row per target
-    with size, needed, available, draw, drawn, short and residual (drawn - draw). Empty members: an empty sample and a
-    report in which every category that needs rows is short.
+    with size, needed, available, draw, gave_way (rows it left to other categories), drawn (counted in the sample),
+    residual (drawn - draw) and short: what was drawn and what it left to others is less than it needed. Empty members:
+    an empty sample and a report in which every category that needs rows is short.
     """
     spark = members.sparkSession
     plan = allocate(members, targets, rows)
@@ -162,8 +164,9 @@ def cube_sample(members: DataFrame, targets: DataFrame, rows: int, seed: int = 0
     for more in done[1:]:
         sample = sample.unionByName(more)
     sample = sample.select("plan_id", "category", "key")
-    shape = "plan_id string, field string, category string, target_share double, min_rows long, size long, needed long, available long, draw long, short boolean"
+    shape = "plan_id string, field string, category string, target_share double, min_rows long, size long, needed long, available long, draw long, gave_way long"
     stated = spark.createDataFrame([tuple(r[c.split()[0]] for c in shape.split(", ")) for r in plan], shape)
     drawn = sample.groupBy("plan_id", "category").agg(F.count("*").alias("drawn"))
     report = stated.join(drawn, ["plan_id", "category"], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0))).withColumn("residual", F.col("drawn") - F.col("draw"))
+    report = report.withColumn("short", F.col("drawn") + F.col("gave_way") < F.col("needed"))
     return sample, report

@@ -1,9 +1,10 @@
 """Splits that keep related records together.
 
 Linked keys are joined by distributed union-find: each partition keeps a forest of its own edges, forests are merged
-level by level (FAN_IN partitions into one), and each merge drops every edge inside a tree. A merge never takes more
-than MERGE_ROWS edges into one task: where a level would, the rest is contracted by large-star and small-star joins,
-which need no bound. Groups then go to splits greedily, largest first, each to the split furthest below its target.
+level by level (FAN_IN partitions into one), and each merge drops every edge inside a tree. Edges are dealt out by both
+their ends, so a hub's are spread; forests merge by the number of their partition, whatever keys they hold. A merge never
+takes more than MERGE_ROWS edges into one task, the largest task counted: where a level would, the rest is contracted by
+large-star and small-star joins, split for hubs, which need no bound. Groups then go to splits greedily, largest first, each to the split furthest below its target.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +22,19 @@ from ozalid.operators.skew import join_by_share, salted_rank
 from ozalid.session import cut_lineage
 
 FAN_IN = 8
+#: Most splits, all of which the driver plans with.
+MOST_SPLITS = 1000
 #: Most edges in one task, some 200 bytes each while they are merged.
 MERGE_ROWS = 1_000_000
 
 
+_EDGES = "a string, b string, part int"
+
+
 def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Union-find over the edges of one partition: (node, smallest node of its tree), roots left out."""
+    """Union-find over the edges of one partition: (node, smallest node of its tree, this partition), roots left out."""
+    context = TaskContext.get()
+    number = context.partitionId() if context else 0
     parent: dict[str, str] = {}
 
     def find(x: str) -> str:
@@ -43,17 +53,23 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     nodes = list(parent)
     for i in range(0, len(nodes), 100_000):
         part = [(n, r) for n in nodes[i : i + 100_000] if (r := find(n)) != n]
-        yield pd.DataFrame(part, columns=["a", "b"], dtype=object)
+        yield pd.DataFrame(part, columns=["a", "b"], dtype=object).assign(part=np.int32(number))
+
+
+def _to_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges with the least node m that their a sees; least: a, m, rows (edges with this a)."""
+    return join_by_share(edges, least, "a", "rows", edges.count())
 
 
 def _star_round(edges: DataFrame) -> DataFrame:
     """Large-star, then small-star: every node is tied to the least node that it sees; hubs only meet their minimum."""
     both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct()
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-    down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    small = down.join(least, "a")
+    up = F.sum(F.when(F.col("b") > F.col("a"), 1).otherwise(0)).alias("rows")
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), up)
+    large = _to_least(both.filter("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    down = cut_lineage(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("rows"))
+    small = _to_least(down, least)
     return small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m"))).filter("a <> b").distinct()
 
 
@@ -66,22 +82,20 @@ def connected(edges: DataFrame, a: str, b: str, partitions: int | None = None, m
     parts = partitions or max(1, min(256, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     apart = F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))
     clean = edges.filter(apart).select(F.least(a, b).cast("string").alias("a"), F.greatest(a, b).cast("string").alias("b"))
-    forest = cut_lineage(clean.repartition(parts, "a").mapInPandas(_forest, "a string, b string"))
+    forest = cut_lineage(clean.repartition(parts, "a", "b").mapInPandas(_forest, _EDGES))
     while parts > 1:
-        n = forest.count()
-        fewer = -(-parts // FAN_IN)
-        if n > merge_rows * fewer:
+        group = F.floor(F.col("part") / FAN_IN).cast("int")
+        largest = forest.groupBy(group.alias("g")).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+        if largest > merge_rows:
             break
-        parts = fewer
-        forest = cut_lineage(forest.repartition(parts, "b").mapInPandas(_forest, "a string, b string"))
+        parts = -(-parts // FAN_IN)
+        forest = cut_lineage(forest.repartitionById(parts, group).mapInPandas(_forest, _EDGES))
+    forest = forest.select("a", "b")
     if parts > 1:
-        mark = None
         while True:
-            forest = cut_lineage(_star_round(forest))
-            now = tuple(forest.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
-            if now == mark:
+            last, forest = forest, cut_lineage(_star_round(forest))
+            if forest.count() == last.count() and forest.join(last, ["a", "b"], "left_anti").isEmpty():
                 break
-            mark = now
     return forest.select(F.col("a").alias("node"), F.col("b").alias("root")).union(forest.select("b", "b").distinct())
 
 
@@ -123,7 +137,8 @@ def grouped_items(items: DataFrame, links: DataFrame, catalog: list[tuple[str, s
     joined = cases.join(roots.withColumnRenamed("node", "case_id"), "case_id", "left").withColumn("root", F.coalesce("root", "case_id"))
     joined = cut_lineage(joined)
     groups = joined.groupBy("root").agg(F.sum("rows").alias("group_rows"), F.min("least").alias("group_id"))
-    table = joined.join(groups, "root").select("case_id", "rows", "group_rows", "group_id")
+    sizes = joined.groupBy("root").agg(F.count("*").alias("cases")).join(groups, "root")
+    table = join_by_share(joined.select("root", "case_id", "rows"), sizes, "root", "cases", joined.count()).select("case_id", "rows", "group_rows", "group_id")
     total = joined.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     return join_by_share(cased, table, "case_id", "rows", total).select("question_id", "group_id", "group_rows")
 
@@ -166,7 +181,10 @@ def plan_sizes(sizes: list[tuple[int, int]], shares: dict[str, float]) -> dict[i
 
 def assign_splits(items: DataFrame, links: DataFrame, targets: DataFrame, catalog: list[tuple[str, str]], seed: int = 0) -> DataFrame:
     """(question_id, group_id, split): whole groups, shares as near to targets (split, target_share) as groups allow."""
-    shares = {r[0]: float(r[1]) for r in targets.select("split", "target_share").filter("split IS NOT NULL AND target_share > 0").limit(1000).collect()}
+    given = targets.select("split", "target_share").filter("split IS NOT NULL AND target_share > 0").limit(MOST_SPLITS + 1).collect()
+    if len(given) > MOST_SPLITS:
+        raise ValueError(f"more than {MOST_SPLITS} splits")
+    shares = {r[0]: float(r[1]) for r in given}
     if not shares:
         raise ValueError("no split has a positive target_share")
     rows = cut_lineage(grouped_items(items, links, catalog))
@@ -180,8 +198,13 @@ def assign_splits(items: DataFrame, links: DataFrame, targets: DataFrame, catalo
             steps.append((size, at, at + got[k], k))
             at += got[k]
     spark = items.sparkSession
+    # at most one row per size and split; there are at most sqrt(2 x rows) sizes
     table = spark.createDataFrame(steps, "size long, lo long, hi long, split string")
     ranked = salted_rank(groups.withColumn("_h", F.xxhash64("group_id", F.lit(seed))), ["size"], [F.col("_h"), F.col("group_id")])
-    placed = ranked.alias("g").join(F.broadcast(table).alias("t"), (F.col("g.size") == F.col("t.size")) & (F.col("g.rank") > F.col("t.lo")) & (F.col("g.rank") <= F.col("t.hi"))).select(F.col("g.group_id").alias("group_id"), F.col("t.split").alias("split"), F.col("g.size").alias("rows"))
+    bounds = table.groupBy("size").agg(F.collect_list(F.struct("lo", "hi", "split")).alias("bounds"))
+    bounds = bounds.join(spark.createDataFrame(sizes, "size long, groups long"), "size")
+    met = join_by_share(ranked, bounds, "size", "groups", sum(n for _, n in sizes))
+    split = F.filter("bounds", lambda x: (F.col("rank") > x["lo"]) & (F.col("rank") <= x["hi"]))[0]["split"]
+    placed = met.select("group_id", split.alias("split"), F.col("size").alias("rows"))
     total = sum(s * n for s, n in sizes)
     return join_by_share(rows.select("question_id", "group_id"), placed, "group_id", "rows", total).select("question_id", "group_id", "split")

@@ -1,24 +1,27 @@
 """Mixtures of sources with target shares of the total size.
 
 Documents are counted by (source, exact size). A source whose need is above its own size is taken whole as often as
-that goes; what remains is met by whole documents: of each size a number in proportion, and the last WINDOW tokens by a
-bounded-knapsack dynamic program over the sizes still open, which finds the sum nearest to the budget from below. Which
+that goes; what remains is met by whole documents: of each size a number in proportion, and the last tokens by a
+bounded-knapsack dynamic program over all sizes still open, which finds the sum nearest to the budget from below. Which
 documents of a size are taken is decided by a seeded hash, with ranks that don't gather a hot size in one task.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ozalid.operators.skew import salted_rank
 from ozalid.session import cut_lineage
 
-#: Tokens left to the dynamic program, and the most different sizes it looks at before it takes all; both bound the driver's work.
+#: Tokens that the share of every size leaves to the dynamic program, if documents are smaller.
 WINDOW = 1 << 16
-MOST_SIZES = 256
-#: Bits that the dynamic program may hold for sums above 4 * WINDOW: 128 MB.
-MOST_BITS = 1 << 30
+#: Most additions of the dynamic program (steps x sums), some seconds of the driver's time, and the most sums, 5 bytes each.
+MOST_WORK = 4_000_000_000
+MOST_SUMS = 40_000_000
 #: Most rows of a table of targets.
 MOST_TARGETS = 100_000
 #: Most different (source, size) pairs that the driver plans with, some 50 bytes each; only sources of a plan count, whose sizes are as many as there are different lengths.
@@ -28,8 +31,9 @@ MOST_CELLS = 2_000_000
 def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
     """How many documents of each size to take (at most counts[size]) so that their sum is the largest at most budget.
 
-    First a share of every size, in proportion to the budget less WINDOW; then the dynamic program. Exact whenever
-    the rest of the sizes can make the rest of the budget; else the nearest sum below among the sizes looked at.
+    First a share of every size, in proportion to the budget less WINDOW; then the dynamic program over all sizes. Where
+    that misses the budget, the program gets the whole budget if its bounds allow. The sum is the nearest one whenever the
+    program gets the whole budget, and else whenever it is the budget itself.
     """
     counts = {s: n for s, n in counts.items() if s > 0 and n > 0}
     whole = sum(s * n for s, n in counts.items())
@@ -49,61 +53,64 @@ def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
             taken[s] += more
             spare[s] -= more
             left -= more * s
-    for s, n in knapsack({s: n for s, n in spare.items() if n}, left).items():
+    rest = knapsack({s: n for s, n in spare.items() if n}, left)
+    if part and sum(s * n for s, n in rest.items()) < left and _affordable(counts, budget):
+        return knapsack(counts, budget)
+    for s, n in rest.items():
         taken[s] += n
     return {s: n for s, n in taken.items() if n}
 
 
-def knapsack(counts: dict[int, int], budget: int) -> dict[int, int]:
-    """Bounded knapsack: numbers of each size with the largest sum at most budget. Reachable sums are the bits of one
-    integer per step; multiplicities are split into powers of two, so a step is a shift and an or."""
-    out: dict[int, int] = {}
-    steps = sum(min(n, budget // s).bit_length() for s, n in counts.items())
-    if budget > 4 * WINDOW and steps * budget > MOST_BITS:  # too much for the program: the largest documents that fit first
-        for s in sorted(counts, reverse=True):
-            if budget <= 4 * WINDOW:
-                break
-            if more := min(counts[s], budget // s):
-                out[s] = more
-                budget -= more * s
-        counts = {s: n - out.get(s, 0) for s, n in counts.items() if n > out.get(s, 0)}
-    for s, n in _nearest(counts, budget).items():
-        out[s] = out.get(s, 0) + n
-    return out
-
-
-def _nearest(counts: dict[int, int], budget: int) -> dict[int, int]:
-    every = sorted(s for s in counts if s <= budget)
-    if len(every) > MOST_SIZES:  # spread over all sizes, the small ones first as they fill gaps
-        some = every[: MOST_SIZES // 2] + every[MOST_SIZES // 2 :: max(1, len(every) // (MOST_SIZES // 2))]
-        out = _fill(counts, some, budget)
-        if sum(s * n for s, n in out.items()) == budget:
-            return out
-    return _fill(counts, every, budget)
+def _affordable(counts: dict[int, int], budget: int) -> bool:
+    sums = budget // math.gcd(*counts)
+    return sums <= MOST_SUMS and sums * sum(min(n, budget // s).bit_length() for s, n in counts.items()) <= MOST_WORK
 
 
-def _fill(counts: dict[int, int], sizes: list[int], budget: int) -> dict[int, int]:
-    mask = (1 << (budget + 1)) - 1
-    steps: list[tuple[int, int, int]] = []  # size, number, sums reachable before
-    reach = 1
-    for s in sizes:
-        n, k = min(counts[s], budget // s), 1
-        while n > 0:
+def knapsack(counts: dict[int, int], budget: int) -> dict[int, int]:
+    """Bounded knapsack: numbers of each size with the largest sum at most budget. Where the program would pass MOST_WORK
+    or MOST_SUMS, the largest documents that fit come first."""
+    out: dict[int, int] = {}
+    fits = {s: n for s, n in counts.items() if s <= budget}
+    while fits and not _affordable(fits, budget):
+        s = max(fits)
+        out[s] = min(fits.pop(s), budget // s)
+        budget -= out[s] * s
+        fits = {s: n for s, n in fits.items() if s <= budget}
+    return out | (_fill(fits, budget) if fits else {})
+
+
+def _fill(counts: dict[int, int], budget: int) -> dict[int, int]:
+    """The dynamic program in units of the sizes' common divisor. Numbers are split into powers of two; of each sum the
+    first step that reaches it is kept, so the way back takes every step at most once."""
+    unit = math.gcd(*counts)
+    budget //= unit
+    reach = np.zeros(budget + 1, bool)
+    reach[0] = True
+    first = np.zeros(budget + 1, np.int32)
+    steps: list[tuple[int, int]] = [(0, 0)]
+    top = 0  # the largest sum reached
+    for s in sorted(counts):
+        n, k = min(counts[s], budget * unit // s), 1
+        while n > 0 and not reach[budget]:
             k = min(k, n)
-            more = reach | (reach << (s * k)) & mask
-            if more != reach:
-                steps.append((s, k, reach))
-                reach = more
+            w = s // unit * k
+            upto = min(budget, top + w)
+            new = reach[: upto - w + 1] & ~reach[w : upto + 1]
+            if new.any():
+                steps.append((s, k))
+                first[w : upto + 1][new] = len(steps) - 1
+                reach[w : upto + 1] |= new
+                top = max(top, int(np.flatnonzero(reach[: upto + 1])[-1]))
             n -= k
             k *= 2
-        if reach >> budget & 1:
+        if reach[budget]:
             break
-    at = reach.bit_length() - 1
     out: dict[int, int] = {}
-    for s, k, before in reversed(steps):
-        if not before >> at & 1:
-            at -= s * k
-            out[s] = out.get(s, 0) + k
+    at = top
+    while at:
+        s, k = steps[first[at]]
+        out[s] = out.get(s, 0) + k
+        at -= s // unit * k
     return out
 
 
@@ -118,13 +125,12 @@ def mix_plan(cells: list[tuple[str, int, int]], targets: list[dict], total: int)
         source, counts = t["source"], by.get(t["source"], {})
         need = t["target_share"] * (t["budget_factor"] * total)
         have = own.get(source, 0)
-        case = need > t["max_repeats"] * have or not counts
         wanted = min(int(need), t["max_repeats"] * have)
         uses = wanted // have if have else 0
         extra = fit(counts, wanted - uses * have)
         tokens = uses * have + sum(s * n for s, n in extra.items())
         draws += [(t["plan_id"], source, s, uses, extra.get(s, 0)) for s in counts if s > 0 and (uses or extra.get(s))]
-        report.append(dict(t, own_tokens=have, needed_tokens=need, planned_tokens=tokens, short=case))
+        report.append(dict(t, own_documents=sum(counts.values()), own_tokens=have, needed_tokens=need, planned_tokens=tokens))
     return report, draws
 
 
@@ -132,7 +138,9 @@ def mixture(sized: DataFrame, targets: DataFrame, seed: int = 0) -> tuple[DataFr
     """(mixture, report). sized: doc_id, source, n_tokens; targets: plan_id, source, target_share, max_repeats, budget_factor.
 
     mixture: plan_id, doc_id, source, n_tokens, uses (how often the document is used, at most max_repeats). report: a
-    row per target: own_tokens, needed_tokens, planned_tokens, drawn_tokens, share (of the plan's drawn tokens), short.
+    row per target: own_documents, own_tokens, needed_tokens, planned_tokens, drawn_tokens and documents (counted in the
+    mixture), share (of the plan's drawn tokens) and short: all its documents are used as often as allowed and the mixture
+    still holds less of it than needed, or it has none.
     Documents without tokens are never drawn, sources outside a plan add to the budget only (so do NULL ones).
     Repeated doc_ids count as documents of their own. No documents: an empty mixture, and every target is short.
     """
@@ -155,10 +163,12 @@ def mixture(sized: DataFrame, targets: DataFrame, seed: int = 0) -> tuple[DataFr
     met = ranked.join(plan, ["source", "n_tokens"])
     uses = F.col("whole") + F.when(F.col("rank") <= F.col("extra"), 1).otherwise(0)
     drawn = met.withColumn("uses", uses).filter("uses > 0").select("plan_id", "doc_id", "source", "n_tokens", "uses")
-    shape = "plan_id string, source string, target_share double, max_repeats int, budget_factor double, own_tokens long, needed_tokens double, planned_tokens long, short boolean"
+    shape = "plan_id string, source string, target_share double, max_repeats int, budget_factor double, own_documents long, own_tokens long, needed_tokens double, planned_tokens long"
     stated = spark.createDataFrame([tuple(r[c.split()[0]] for c in shape.split(", ")) for r in report], shape)
     got = drawn.groupBy("plan_id", "source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("drawn_tokens"), F.count("*").alias("documents"))
     full = stated.join(got, ["plan_id", "source"], "left").fillna(0, ["drawn_tokens", "documents"])
     sums = full.groupBy("plan_id").agg(F.sum("drawn_tokens").alias("_all"))
     full = full.join(F.broadcast(sums), "plan_id").withColumn("share", F.when(F.col("_all") > 0, F.col("drawn_tokens") / F.col("_all"))).drop("_all")
+    used_up = F.col("drawn_tokens") >= F.col("max_repeats") * F.col("own_tokens")
+    full = full.withColumn("short", (F.col("own_documents") == 0) | (used_up & (F.col("drawn_tokens") < F.col("needed_tokens"))))
     return drawn, full

@@ -169,7 +169,8 @@ def indexed(terms: list[str], weights: list[float], greatest: list[float], least
 
 
 def prepare(items: DataFrame) -> DataFrame:
-    """(question_id, dataset, split, image, asked) of the items that can overlap: an image, words in the question and a split.
+    """(question_id, dataset, split, image, asked) of the items that can overlap: a path, words in the question and a split;
+    image is NULL where the path is blank.
 
     items: one row per question_id. asked is cached per worker, so repeated questions cost a lookup.
     """
@@ -191,7 +192,8 @@ def prepare(items: DataFrame) -> DataFrame:
             yield pd.Series(out, dtype=object)
 
     given = items.filter("question IS NOT NULL AND image_path IS NOT NULL AND split IS NOT NULL")
-    keyed = with_image_key(given.select("question_id", "dataset", "split", "question", "image_path"), "image_path", "image").filter("image IS NOT NULL")
+    keyed = with_image_key(given.select("question_id", "dataset", "split", "question", "image_path"), "image_path", "image")
+    # a filter on the image here would be pushed down and compute all its steps several times over
     return keyed.select("question_id", "dataset", "split", "image", asked("question").alias("asked")).filter("asked <> ''")
 
 
@@ -244,10 +246,11 @@ def overlaps(records: DataFrame, train: str = "train") -> DataFrame:
     """All pairs (train_id, eval_id, eval_split, train_dataset, eval_dataset, cosine) of one record of split `train` and
     one of another split with the same image and the same question.
 
-    records: see prepare; read several times, so cut its lineage first. Records with the same image and question are
+    records: see prepare; read several times, so cut its lineage first. Records without an image are in no pair. Those with the same image and question are
     joined as one class and expand at the end: no link between records is lost and none is computed twice. Questions of
     a hot image meet only where they share an indexed term. Empty splits give no rows.
     """
+    records = records.filter("image IS NOT NULL")
     sided = records.withColumn("side", F.col("split") == train)
     distinct = cut_lineage(records.groupBy("asked").agg(F.count("*").alias("n")))
     total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

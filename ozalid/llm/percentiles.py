@@ -16,11 +16,12 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ozalid.operators.skew import join_by_share
 from ozalid.session import cut_lineage
 
 DIGIT_BITS = 16
 ROUNDS = 4
-#: Targets (groups x percentiles) up to this many are broadcast, each some 100 bytes; beyond, the rounds use a shuffle join.
+#: Targets (groups x percentiles) up to this many are broadcast, each some 100 bytes; beyond, only those of hot groups.
 MOST_BROADCAST_TARGETS = 50_000
 PERCENTILES = ("0.5", "0.9", "0.99", "0.999")
 
@@ -117,15 +118,28 @@ def _follow(targets: DataFrame, counts: DataFrame, by: list[str], round_no: int)
     return joined.select(*kept, prefix.alias("prefix"), (F.col("t.rank") - F.col("c.below")).alias("rank"))
 
 
-def _known(targets: DataFrame) -> tuple[DataFrame, bool]:
+def _known(targets: DataFrame, most: int) -> tuple[DataFrame, bool]:
     """The targets as a table read from the driver where they are few; else cut by a checkpoint, for a shuffle join."""
-    rows = targets.limit(MOST_BROADCAST_TARGETS + 1).collect()
-    if len(rows) <= MOST_BROADCAST_TARGETS:
+    rows = targets.limit(most + 1).collect()
+    if len(rows) <= most:
         return targets.sparkSession.createDataFrame(rows, targets.schema), True
     return cut_lineage(targets), False
 
 
-def percentiles(df: DataFrame, by: list[str], value: str, status: str, at: tuple[str, ...] = PERCENTILES, rounds: int = ROUNDS, pieces: list[str] | None = None) -> DataFrame:
+def _with_targets(valid: DataFrame, wanted: DataFrame, by: list[str], few: bool) -> DataFrame:
+    """valid (by..., _v) with the columns of wanted (by..., n_valid, _r...). Few targets are broadcast, else those of hot groups are."""
+    ranges = [c for c in wanted.columns if c.startswith("_r")]
+    if few:
+        return valid.alias("k").join(F.broadcast(wanted).alias("w"), _same("k", "w", by)).select(*[F.col(f"k.{c}") for c in by], "_v", *ranges)
+    named = wanted.select(F.xxhash64(F.struct(*by)).alias("_g"), *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], *[c for c in wanted.columns if c not in by])
+    total = wanted.agg(F.coalesce(F.sum("n_valid"), F.lit(0))).first()[0]
+    met = join_by_share(valid.withColumn("_g", F.xxhash64(F.struct(*by))), named, "_g", "n_valid", total)
+    for i, c in enumerate(by):  # groups of one hash
+        met = met.filter(F.col(c).eqNullSafe(F.col(f"_by{i}")))
+    return met.select(*by, "_v", *ranges)
+
+
+def percentiles(df: DataFrame, by: list[str], value: str, status: str, at: tuple[str, ...] = PERCENTILES, rounds: int = ROUNDS, pieces: list[str] | None = None, most_broadcast: int = MOST_BROADCAST_TARGETS) -> DataFrame:
     """Percentiles `at` of df[value] per group, over rows whose df[status] is ok; others are counted apart.
 
     Result: by..., percentile, value, max_relative_error, n_valid, n_missing, n_unreadable, n_nan, n_infinite, n_negative.
@@ -142,21 +156,21 @@ def percentiles(df: DataFrame, by: list[str], value: str, status: str, at: tuple
     first = cut_lineage(first)  # groups x occupied digits; read twice
     targets = _targets(first, by, at).withColumn("prefix", F.lit(None).cast("long"))
     counts = first.filter("status = 'ok'").select(*by, F.col("prefix").cast("int").alias("digit"), "n")
-    targets, few = _known(_follow(targets, counts, by, 1))
+    targets, few = _known(_follow(targets, counts, by, 1), most_broadcast)
     valid = narrow.filter(F.col("_s") == "ok").select(*by, "_v")
     for round_no in range(2, rounds + 1):
         unit = 2 ** (64 - DIGIT_BITS * (round_no - 1))
         ranges = F.struct(key_value(F.col("prefix") * F.lit(unit)).alias("lo"), key_value((F.col("prefix") + 1) * F.lit(unit)).alias("hi"))
-        wanted = targets.filter("prefix IS NOT NULL").groupBy(*by).agg(F.collect_set(ranges).alias("r"))
-        wanted = wanted.select(*by, *[F.get("r", F.lit(i)).alias(f"_r{i}") for i in range(len(at))])
+        wanted = targets.filter("prefix IS NOT NULL").groupBy(*by).agg(F.max("n_valid").alias("n_valid"), F.collect_set(ranges).alias("r"))
+        wanted = wanted.select(*by, "n_valid", *[F.get("r", F.lit(i)).alias(f"_r{i}") for i in range(len(at))])
         inside = F.lit(False)
         for i in range(len(at)):
             inside = inside | F.coalesce((F.col("_v") >= F.col(f"_r{i}.lo")) & (F.col("_v") < F.col(f"_r{i}.hi")), F.lit(False))
-        joined = valid.alias("k").join(F.broadcast(wanted).alias("w") if few else wanted.alias("w"), _same("k", "w", by) & inside)
-        keyed = with_key(joined.select(*[F.col(f"k.{c}") for c in by], "_v"), "_v", "_k")
+        joined = _with_targets(valid, wanted, by, few).filter(inside)
+        keyed = with_key(joined.select(*by, "_v"), "_v", "_k")
         prefix = F.shiftright("_k", 64 - DIGIT_BITS * (round_no - 1))
         counts = keyed.groupBy(*by, prefix.alias("prefix"), _digit(F.col("_k"), round_no).alias("digit")).agg(F.count("*").alias("n"))
-        targets, few = _known(_follow(targets, counts, by, round_no))
+        targets, few = _known(_follow(targets, counts, by, round_no), most_broadcast)
     low = key_value(F.col("prefix") * F.lit(2 ** (64 - DIGIT_BITS * rounds)))
     error = F.lit(0.0 if rounds == ROUNDS else 2.0 ** (12 - DIGIT_BITS * rounds))
     shown = [c for c in targets.columns if c.startswith("n_")]

@@ -11,7 +11,9 @@ from ozalid.operators.skew import latest_rows
 
 def _run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     targets = spark.read.parquet(f"{sf_dir}/sample_targets.parquet")
-    plans = targets.select("plan_id", "field").distinct().orderBy("plan_id").limit(MOST_TARGETS).collect()
+    plans = targets.select("plan_id", "field").distinct().orderBy("plan_id").limit(MOST_TARGETS + 1).collect()
+    if len(plans) > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} plans")
     fields = sorted({r["field"] for r in plans})
     items = latest_rows(spark.read.parquet(f"{sf_dir}/qa_items.parquet"), "question_id", "loaded_at", fields)
     rows = items.count()

@@ -12,7 +12,7 @@ TERMS = [(1, "Computed tomography", "CT"), (2, "Pleural effusion", None), (3, "O
      ("Pleural plaque", 0), ("Renal stone fragment", 0), ("12 mm", 0), ("-", 0), ("???", 0), ("n/a", 0), ("both of the above", 0), ("Hip prosthesis", 0), ("x" * 10000, 0)],
 )
 def test_lookup(value, term):
-    assert Dictionary(TERMS).lookup(value)[2] == term
+    assert Dictionary(TERMS).lookup(value) == term
 
 
 def test_deletions_and_distance():
@@ -24,7 +24,7 @@ def test_deletions_and_distance():
 
 def test_more_used_entry_wins_a_tie():
     near = [(1, "abcdefgx", None), (2, "abcdefgz", None)]
-    assert Dictionary(near, {2: 9}).lookup("abcdefgk")[2] == 2 and Dictionary(near).lookup("abcdefgk")[2] == 1
+    assert Dictionary(near, {2: 9}).lookup("abcdefgk") == 2 and Dictionary(near).lookup("abcdefgk") == 1
 
 
 @pytest.mark.parametrize("most_terms", [10_000, 2])
@@ -37,3 +37,16 @@ def test_table(spark, most_terms):
     assert got == [("a", 1), ("d", 0), ("e", 7), ("e", 7)]
     assert map_values(df, "v", terms.limit(0)).filter("term_id = 0").count() == 4
     assert map_values(df.limit(0), "v", terms).count() == 0
+
+
+def test_blocks_of_any_size_give_the_same_answers(spark):
+    """Ties that use counts decide, abbreviations of several entries, windows and word orders, whatever block holds what."""
+    names = [(i, f"{a} {b}", s) for i, (a, b, s) in enumerate([("Renal", "cyst", "RC"), ("Renal", "cast", None), ("Optic", "nerve head", "ONH"), ("Lung", "nodule", "LN"), ("abcdefg", "x", None), ("abcdefg", "z", None), ("Bone", "marrow oedema", "BMO"), ("Liver", "lesion", "LL")], 1)]
+    terms = spark.createDataFrame(names, "term_id long, name string, short_form string")
+    uses = spark.createDataFrame([(6, 9), (2, 4)], "term_id long, used long")
+    values = ["abcdefg k", "renal cxst", "seen LN and BMO", "seen LN again", "probable cyst, renal", "lung noduls here", "b one marrow oedema", "nothing", "rc", "head optic nerve", " "]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    want = {r["v"]: r["term_id"] for r in map_values(df, "v", terms, used=uses).collect()}
+    assert want["abcdefg k"] == 6 and want["seen LN and BMO"] == 0 and want["seen LN again"] == 4 and want[" "] is None
+    for most in (1, 2, 3, 5):
+        assert {r["v"]: r["term_id"] for r in map_values(df, "v", terms, used=uses, most_terms=most).collect()} == want

@@ -14,7 +14,7 @@ def test_needs():
     plan = [dict(plan_id="p", field="f", category=c, target_share=s, min_rows=m, sample_fraction=0.5, available=a) for c, s, m, a in (("a", 0.5, 1, 1000), ("b", 0.3, 20, 5), ("c", 0.2, 30, 1000), ("d", 0.0, 3, 0))]
     got = {r["category"]: r for r in needs(plan, 200)}
     assert (got["a"]["needed"], got["b"]["needed"], got["c"]["needed"]) == (50, 30, 30)
-    assert [c for c in got if got[c]["short"]] == ["b", "d"]
+    assert [c for c in got if got[c]["draw"] + got[c]["gave_way"] < got[c]["needed"]] == ["b", "d"]
     assert sum(r["draw"] for r in got.values()) == 100
 
 
@@ -53,3 +53,11 @@ def test_empty(spark):
     members = spark.createDataFrame([], "plan_id string, category string, key string")
     sample, report = cube_sample(members, targets(spark, ("a", 1.0, 2)), 0)
     assert sample.count() == 0 and report.filter(F.col("short")).count() == 1
+
+
+def test_short_is_read_from_the_sample(spark):
+    """Minimums above the size make categories give way: that alone is not short; too few rows are."""
+    members = spark.range(100).selectExpr("'p' AS plan_id", "CASE WHEN id < 60 THEN 'a' WHEN id < 95 THEN 'b' ELSE 'c' END AS category", "cast(id AS string) AS key")
+    rows = {r["category"]: r for r in cube_sample(members, targets(spark, ("a", 0.9, 1), ("b", 0.4, 1), ("c", 0.1, 20)), 100)[1].collect()}
+    assert rows["c"]["short"] and rows["c"]["drawn"] == 5 and not rows["a"]["short"] and not rows["b"]["short"]
+    assert sum(r["drawn"] for r in rows.values()) == 50 and rows["a"]["gave_way"] + rows["b"]["gave_way"] > 0

@@ -32,7 +32,7 @@ def test_fit_is_close(budget):
 
 def test_plan():
     report, draws = mix_plan([("a", 10, 10), ("a", 0, 3), ("b", 5, 2)], [dict(plan_id="p", source=s, target_share=t, max_repeats=m, budget_factor=1.0) for s, t, m in (("a", 0.75, 1), ("b", 0.1, 2), ("c", 0.1, 9))], 200)
-    assert [(r["source"], r["short"], r["planned_tokens"]) for r in report] == [("a", True, 100), ("b", False, 20), ("c", True, 0)]
+    assert [(r["source"], r["own_documents"], r["planned_tokens"]) for r in report] == [("a", 13, 100), ("b", 2, 20), ("c", 0, 0)]
     assert ("p", "b", 5, 2, 0) in draws and not [d for d in draws if d[2] == 0]
 
 
@@ -64,3 +64,20 @@ def test_documents_above_the_window():
 def test_all_sizes_where_some_do_not_reach():
     counts = {s: 1 for s in range(2000, 4000, 2)} | {3331: 1}
     assert sum(s * n for s, n in knapsack(counts, 3331).items()) == 3331
+
+
+def test_large_documents_reach_the_budget():
+    assert fit({700_000: 1, 500_000: 3}, 1_500_000) == {500_000: 3}
+    assert fit({300_000: 4, 700_001: 2}, 1_400_002) == {700_001: 2}
+
+
+def test_many_sizes_reach_the_budget():
+    counts = {2 * s: 1 for s in range(5000, 6000)} | {30_001: 1}
+    assert sum(s * n for s, n in fit(counts, 30_001).items()) == 30_001
+
+
+def test_short_is_read_from_the_mixture(spark):
+    sized = spark.createDataFrame([(i, s, 10) for i, s in enumerate("aaaabbbbbbcc")], "doc_id long, source string, n_tokens int")
+    rows = [("p", "a", 0.7, 2, 1.0), ("p", "b", 0.5, 1, 1.0), ("p", "c", 2.5 / 12, 1, 1.0), ("p", "d", 0.0, 1, 1.0)]
+    got = {r["source"]: (r["drawn_tokens"], r["short"]) for r in mixture(sized, spark.createDataFrame(rows, PLAN))[1].collect()}
+    assert got == {"a": (80, True), "b": (60, False), "c": (20, True), "d": (0, True)}
