@@ -1,11 +1,14 @@
-"""Texts that stop before their own end.
-
-A cut text ends with words that elsewhere go on: its tail is a strict prefix of longer copies. Tails differ in names and
-numbers, so windows of tokens are compared, not whole texts. Windows of fixed lengths before every position of the
-corpus are hashed; joined to the hashed tails, they say how often the same words went on and how often a text ended
-there. The chance of an end given the tail is estimated from the shortest window to the longest, each text leaving
-itself and its near copies out; where it is as small as a random cut's, the text was cut. A last word that never stands inside a text and
-is a strict prefix of words that do was cut as well.
+"""Texts that stop before their own end: a self-join by prefix.
+
+The values that are joined are the units of texts (sentences and lines), with numbers written as 0; every distinct unit
+counts as often as it stands, and the unit in which a text ends, its tail, is what may be cut. A cut tail is a strict
+prefix of longer copies elsewhere. As tails differ in names and in what is filled in, prefixes are hashed in fixed
+lengths: every prefix of every unit by its last one, two, three, four and six tokens (a short prefix is whole then, with
+the unit's beginning) and with the first two tokens of its clause. Joined to the hashed tails, they say in how many
+units the same words go on, in how many they end, and name a longer copy. The chance of an end given the tail is
+estimated from the shortest prefix to the longest, each text leaving itself and its near copies out; where it is as
+small as a random cut's and there is a longer copy, the text was cut. A last word that is a strict prefix of longer words
+in its place, and hardly stands there itself, was cut as well.
 """
 
 from __future__ import annotations
@@ -19,16 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ozalid.operators.skew import join_by_share
 from ozalid.session import cut_lineage
 
-#: A word is known if it makes up this share of all tokens inside texts, so at most 1/KNOWN_SHARE words are broadcast.
+#: A word is known if it makes up this share of all tokens inside texts, at any size of the corpus: at most 1/KNOWN_SHARE
+#: words are broadcast. Others (names, misspellings) are told apart by their class alone.
 KNOWN_SHARE = 2e-6
-#: Slots of the tails' bitmap that keeps other windows out of the shuffle: 2 MB, whatever the corpus.
-SLOTS = 1 << 24
+#: Slots for each hash of a tail in the bitmap that keeps other prefixes out of the shuffle, and the most slots (8 MB). More
+#: hashes than that make it let more through: that costs shuffle, and changes no result.
+SLOTS_EACH, MOST_SLOTS = 16, 1 << 26
 #: Weight of the shorter windows' estimate, in occurrences.
 PRIOR = 8.0
 #: Below this chance that a clause ends here, that a text or line ends after such a mark, or this share of like units that
@@ -45,18 +50,31 @@ PART = 12
 
 _TOKEN = re.compile(r"\n+| - |[0-9]+(?:[.,:/][0-9]+)*(?![A-Za-z0-9])|[A-Za-z]*[0-9][A-Za-z0-9]*|[぀-ヿ㐀-鿿]|(?:(?![぀-ヿ㐀-鿿])[^\W\d_])+|\S")
 _DIGITS = frozenset("0123456789")
-#: A mark that says by itself that something is missing; read by the regular expressions of Java and Python alike.
-OMITTED = r"(?i)(?:\uFFFD|[\[(]\s*(?:\.\.+|\u2026|more|cut|truncated|continued|weiter|suite|más)\s*[\])])\s*$"
-_MARKS = re.compile(r"(?:\s|�|…|\.\.+|\[\s*(?:\.\.+|…)\s*\]|\(\s*(?:\.\.+|…)\s*\)|[\[(]\s*(?:more|cut|truncated|continued|weiter|suite|más)\s*[\])]|(?:read more|show more|continue reading)$|[>»]{2,})+$", re.I)
+_DOTS = r"\.{2,}|\u2026"
+#: A mark that says by itself that something is missing: a broken character, or dots in brackets.
+OMITTED = rf"(?:\uFFFD|[\[(]\s*(?:{_DOTS})\s*[\])])\s*$"
+_BLANKS = " \t\n\r\f\x0b\xa0\u2026\ufffd"
+#: Dots, and dots or one word in brackets, at the end: no part of the text.
+_MARK = rf"(?:(?<!\.)\.{{2,}}+|[\[(]\s*(?:{_DOTS}|[\p{{L}}]{{1,12}})\s*[\])])$"
 _BREAKS = frozenset((".", "?", "!", ";", ",", ":", "。", "，", "；", "：", "？", "！", " - ", "|", "\n"))
 LEVELS = 7
 PAD, LINE = 1, 5  # the numbers of no token and of a line break
 _PAD = [PAD] * 6
 
 
-def without_marks(text: str) -> str:
-    """text without white space and marks of omission at its end."""
-    return _MARKS.sub("", text)
+def without_marks(text: Column) -> Column:
+    """text without white space and up to two marks of omission at its end."""
+    for _ in range(2):
+        text = F.regexp_replace(F.rtrim(text, F.lit(_BLANKS)), _MARK, "")
+    return F.rtrim(text, F.lit(_BLANKS))
+
+
+def units(text: Column) -> Column:
+    """The sentences and lines of text, numbers as 0, runs of blanks as one; a line's last unit keeps its line break."""
+    plain = F.regexp_replace(text, r"[0-9]++(?:[.,:/][0-9]++)*+", "0")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"(?U)[\s\x1c-\x1f&&[^\n]]++", " "), r" ?\n[ \n]*+", "\n")
+    split = F.split(F.ltrim(plain, F.lit(" \n")), r"(?<=[.?!]) |(?<=[\u3002\uFF1F\uFF01])(?!\n)|(?<=\n)")
+    return F.filter(split, lambda u: ~u.isin("", " "))
 
 
 def tokens(text: str) -> list[str]:
@@ -139,20 +157,25 @@ def _mix(h: np.ndarray, x: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-_CLOSERS = frozenset(".?!。？！")
+_CLOSERS, _WITHIN_NUMBERS = frozenset(".?!。？！"), frozenset(".:/")
 
 
 class Corpus:
-    """Positions of a batch of tokenised texts: flat token numbers, padded before each text."""
+    """Positions of a batch of tokenised units: flat token numbers, padded before each unit. final: whether a text ends with
+    the unit."""
 
-    def __init__(self, texts: list[list[str]], vocabulary: Vocabulary):
-        numbers = [[vocabulary.number(t) for t in tokens] for tokens in texts]
+    def __init__(self, units: list[list[str]], vocabulary: Vocabulary, final: list[bool] | None = None):
+        numbers = [[vocabulary.number(t) for t in tokens] for tokens in units]
         self.flat = flat = np.array([x for n in numbers for x in (*_PAD, *n)] + [PAD], np.int64)
         inside = flat != PAD
         self.inside = inside
         nothing = np.zeros(len(flat), bool)
         self.last = nothing.copy()
         self.last[:-1] = inside[:-1] & ~inside[1:]
+        self.unit = np.repeat(np.arange(len(units)), [len(n) + len(_PAD) for n in numbers])
+        self.unit = np.append(self.unit, max(0, len(units) - 1))
+        if final is not None:
+            self.last &= np.array(final, bool)[self.unit] if units else False
         known = np.minimum(flat, len(vocabulary.breaks) - 1)
         breaks, closes = vocabulary.breaks[known] & inside, vocabulary.closes[known] & inside
         self.e1, self.e2 = self.last.copy(), self.last.copy()  # a text or line ends next; a text, line, clause or sentence does
@@ -210,10 +233,13 @@ def _hash(level: int, columns: list[np.ndarray]) -> np.ndarray:
 
 
 def chance(seen: list[tuple[int, int]], base: float) -> float:
-    """From (occurrences, events) of each level, general to special, without the text's own."""
-    p = base
+    """From (occurrences, events) of each level, general to special, without the text's own. A level that has the same
+    occurrences as the one before, as all levels have beyond a unit's beginning, says nothing new."""
+    p, last = base, None
     for n, e in seen:
-        p = (max(0, e) + PRIOR * p) / (max(0, n) + PRIOR)
+        if (n, e) != last:
+            p = (max(0, e) + PRIOR * p) / (max(0, n) + PRIOR)
+        last = n, e
     return p
 
 
@@ -236,11 +262,13 @@ def judge(kind: str, levels: list[tuple[int, int, int]], styles: list[tuple[int,
 
 
 def tail_kind(tokens: list[str], vocabulary: Vocabulary) -> str:
-    """part: a word that only begins a known one; whole: ends in a sentence mark; number: a number before such a mark;
+    """part: a word that only begins a known one; whole: ends in a sentence mark; number: a number before what may stand within it;
     mark: another character; word: all else."""
     t = tokens[-1]
+    if t in _WITHIN_NUMBERS and len(tokens) > 1 and tokens[-2] in ("0", "X0"):
+        return "number"
     if t in _CLOSERS:
-        return "number" if len(tokens) > 1 and tokens[-2] == "0" and t == "." else "whole"
+        return "whole"
     if not t[0].isalnum():
         return "mark"
     return "part" if t[0].isalpha() and t not in vocabulary.ids and vocabulary.starts_known(t) else "word"
@@ -266,8 +294,10 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return frame
 
     for pdf in batches:
-        for text in pdf["s"].array:
-            counts.update(tokens(text)[:-1])
+        for unit, final, n in zip(pdf["unit"].array, pdf["final"].array, pdf["n"].array, strict=True):
+            words = tokens(unit)
+            for w in words[:-1] if final else words:
+                counts[w] += n
             if len(counts) > 200_000:
                 yield out()
     yield out()
@@ -276,83 +306,111 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _tails(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = Vocabulary(shared.value)
-        for pdf in _chunks(batches, "s"):
-            split = [tokens(s) for s in pdf["s"].array]
+        for pdf in _chunks(batches, "unit"):
+            split = [tokens(s) or ["."] for s in pdf["unit"].array]
             kinds = [tail_kind(t, v) for t in split]
             c = Corpus(split, v)
             at = np.flatnonzero(c.last) - np.array([k == "number" for k in kinds], np.int64)
-            last = [t[-1] if k == "word" else "0" for t, k in zip(split, kinds, strict=True)]
+            last = [t[-1] if k in ("word", "part") else "0" for t, k in zip(split, kinds, strict=True)]
             hashes = np.concatenate([c.windows(at), c.styles(at), c.last_parts(at, last)[None, :]]).T
-            yield pd.DataFrame({"key": pdf["key"].to_numpy(), "kind": kinds, "copy": [copy_class(t) for t in split], "h": list(hashes)})
+            copies = [copy_class([*tokens(before), *t]) for before, t in zip(pdf["before"].array, split, strict=True)]
+            part = [t[-1] if k == "part" else None for t, k in zip(split, kinds, strict=True)]
+            yield pd.DataFrame({"key": pdf["key"].to_numpy(), "kind": kinds, "part": part, "copy": copies, "h": list(hashes)})
 
     return run
 
 
+_NONE = np.iinfo(np.int64).min
+
+
 def _window_counts(shared, bitmap):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v, bits = Vocabulary(shared.value), bitmap.value
-        for pdf in _chunks(batches, "s"):
-            c = Corpus([tokens(s) for s in pdf["s"].array], v)
+        slots = np.uint64(64 * len(bits))
+        for pdf in _chunks(batches, "unit"):
+            c = Corpus([tokens(s) for s in pdf["unit"].array], v, pdf["final"].tolist())
+            times, ids = pdf["n"].to_numpy()[c.unit], pdf["id"].to_numpy()[c.unit]
             where, closing = np.flatnonzero(c.inside), np.flatnonzero(c.closing)
             longer = c.longer(where, v.parts())
+            inner = np.repeat(where, PART)[longer != 0]
             longer = longer[longer != 0]
+            at = np.concatenate([*[where] * LEVELS, *[closing] * 2, inner])
             h = np.concatenate([*c.windows(where), *c.styles(closing), longer])
             no = np.zeros(2 * len(closing) + len(longer), bool)
             e1 = np.concatenate([*[c.e1[where]] * LEVELS, *[c.good[closing]] * 2, no[: len(longer)]])
             e2 = np.concatenate([*[c.e2[where]] * LEVELS, no])
-            slot = h.view(np.uint64) % np.uint64(SLOTS)
+            goes = np.concatenate([*[~c.e2[where]] * LEVELS, np.zeros(2 * len(closing), bool), ~no[: len(longer)]])
+            slot = h.view(np.uint64) % slots
             wanted = (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-            unique, back, n = np.unique(h[wanted], return_inverse=True, return_counts=True)
-            one = np.bincount(back, weights=e1[wanted], minlength=len(unique)).astype(np.int64)
-            two = np.bincount(back, weights=e2[wanted], minlength=len(unique)).astype(np.int64)
-            whole = [len(where), int(c.e1[where].sum()), int(c.e2[where].sum())]
-            yield pd.DataFrame({"h": np.append(unique, 0), "n": np.append(n, whole[0]), "e1": np.append(one, whole[1]), "e2": np.append(two, whole[2])})
+            h, e1, e2, at, goes = h[wanted], e1[wanted], e2[wanted], at[wanted], goes[wanted]
+            unique, back = np.unique(h, return_inverse=True)
+
+            def total(weights, back=back, size=len(unique)) -> np.ndarray:
+                return np.bincount(back, weights=weights, minlength=size).astype(np.int64)
+
+            n = times[at]
+            on = np.full(len(unique), _NONE)
+            on[back[goes]] = ids[at[goes]]
+            whole = [int(x.sum()) for x in (times[where], c.e1[where] * times[where], c.e2[where] * times[where])]
+            yield pd.DataFrame({"h": np.append(unique, 0), "n": np.append(total(n), whole[0]), "e1": np.append(total(e1 * n), whole[1]), "e2": np.append(total(e2 * n), whole[2]), "on": np.append(on, _NONE)})
 
     return run
 
 
-def truncated(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """The columns `keep` of the rows of df whose text was cut.
+def _bitmap(hashes: DataFrame, count: int) -> np.ndarray:
+    """Bits of the hashes of tails, in words of 64 bits."""
+    slots = 1 << min(MOST_SLOTS.bit_length() - 1, max(16, (SLOTS_EACH * count).bit_length()))
+    slot = F.pmod(F.col("h"), F.lit(slots).cast("long"))  # 2**64 is a multiple of slots, so this is the unsigned remainder
+    packed = hashes.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("b")).toPandas()
+    bits = np.zeros(slots // 64, np.uint64)
+    bits[packed["w"].to_numpy(np.int64)] = packed["b"].to_numpy(np.int64).view(np.uint64)
+    return bits
+
+
+def truncated(df: DataFrame, text: str, keep: list[str], evidence: bool = False) -> DataFrame:
+    """The columns `keep` of the rows of df whose text was cut; with evidence, also `tail`, the text's last unit, and
+    `longer`, a unit elsewhere that goes on where the tail stops (NULL where a mark of omission alone says so).
 
     NULL, empty and blank texts, and texts of marks alone, are none. Equal texts get equal answers and count once in the
-    statistics, which run over the whole texts of all rows; near copies of a text are left out when it is judged. An empty table gives an empty result. A corpus in which
-    nothing recurs gives no evidence, so only broken characters and bracketed marks of omission count there.
+    statistics, which run over the whole texts of all rows; near copies of a text are left out when it is judged. An empty
+    table gives an empty result. A corpus in which nothing recurs has no longer copies, so only broken characters and dots
+    in brackets count there.
     """
     spark = df.sparkSession
-
-    @F.pandas_udf("string")
-    def bare(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: without_marks(t) if t is not None else None)
-
-    base = df.select(*keep, F.col(text).alias("_text")).filter("_text IS NOT NULL").withColumn("s", bare("_text"))
+    base = df.select(*keep, F.col(text).alias("_text")).filter("_text IS NOT NULL").withColumn("s", without_marks(F.col("_text")))
     base = base.filter("s <> ''").withColumn("key", F.md5("s"))
-    texts = cut_lineage(base.groupBy("key", "s").agg(F.count("*").alias("copies")))
-    words = cut_lineage(texts.select("s").mapInPandas(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    texts = base.groupBy("key", "s").agg(F.count("*").alias("copies")).withColumn("units", units(F.col("s"))).filter("size(units) > 0")
+    size = F.size("units")
+    before = F.array_join(F.slice("units", F.greatest(F.lit(1), size - 3), F.least(F.lit(3), size - 1)), " ")
+    texts = cut_lineage(texts.select("key", "copies", F.slice("units", F.lit(1), size - 1).alias("inner"), F.element_at("units", -1).alias("unit"), before.alias("before")))
+    each = texts.select(F.explode("inner").alias("unit"), F.lit(False).alias("final")).unionByName(texts.select("unit", F.lit(True).alias("final")))
+    distinct = cut_lineage(each.groupBy("unit", "final").agg(F.count("*").alias("n")).withColumn("id", F.xxhash64("unit")))
+    words = cut_lineage(distinct.mapInPandas(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     known = [r["word"] for r in words.filter(F.col("n") >= max(2, KNOWN_SHARE * total)).select("word").collect()]
     shared = spark.sparkContext.broadcast(sorted(known))
-    tails = cut_lineage(texts.select("key", "s").mapInPandas(_tails(shared), "key string, kind string, copy long, h array<long>"))
-    open_tails = tails.filter("kind NOT IN ('whole', 'part')")
-    each = open_tails.select("key", "copy", F.posexplode("h").alias("level", "h")).filter("h <> 0").withColumn("own", F.xxhash64("copy", "h"))
-    slot = F.pmod(F.col("h"), F.lit(SLOTS))
-    # 2**64 is a multiple of SLOTS, so pmod of the signed hash is the unsigned remainder
-    packed = each.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("b")).collect()
-    bits = np.zeros(SLOTS // 64, np.uint64)
-    for w, b in packed:
-        bits[w] = np.uint64(b & 0xFFFFFFFFFFFFFFFF)
-    counts = cut_lineage(texts.select("s").mapInPandas(_window_counts(shared, spark.sparkContext.broadcast(bits)), "h long, n long, e1 long, e2 long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("e1").alias("e1"), F.sum("e2").alias("e2")))
+    tails = cut_lineage(texts.select("key", "unit", "before").mapInPandas(_tails(shared), "key string, kind string, part string, copy long, h array<long>"))
+    # what begins a known word but stands inside texts itself, though rarely, is a word
+    seldom = tails.filter("part IS NOT NULL").select("key", F.col("part").alias("word")).join(words.filter("n > 1"), "word", "left_semi").select("key", F.lit("word").alias("stands"))
+    tails = cut_lineage(tails.join(seldom, "key", "left").select("key", F.coalesce("stands", "kind").alias("kind"), "copy", "h"))
+    open_tails = tails.filter("kind <> 'whole'")
+    hashes = open_tails.select("key", "copy", F.posexplode("h").alias("level", "h")).filter("h <> 0").withColumn("own", F.xxhash64("copy", "h"))
+    classes = cut_lineage(hashes.groupBy("own", "h").agg(F.count("*").alias("tails")))
+    tails_total, classes_total = classes.agg(F.coalesce(F.sum("tails"), F.lit(0)), F.count("*")).first()
+    bits = spark.sparkContext.broadcast(_bitmap(classes, classes_total))
+    found = distinct.mapInPandas(_window_counts(shared, bits), "h long, n long, e1 long, e2 long, on long")
+    counts = cut_lineage(found.groupBy("h").agg(F.sum("n").alias("n"), F.sum("e1").alias("e1"), F.sum("e2").alias("e2"), F.max("on").alias("on")))
     row = counts.filter("h = 0").first()
     rates = (row["e1"] / row["n"], row["e2"] / row["n"]) if row and row["n"] else (0.0, 0.0)
-    # one row per window and class of near copies: its counts without those of the other tails of the class
-    classes = cut_lineage(each.groupBy("own", "h").agg(F.count("*").alias("tails")))
+    # one row per prefix and class of near copies: its counts without those of the other tails of the class
     used = classes.groupBy("h").agg(F.count("*").alias("classes"))
     table = cut_lineage(used.join(counts, "h"))
-    each_class = join_by_share(classes, table, "h", "classes", classes.count())
+    each_class = join_by_share(classes, table, "h", "classes", classes_total)
     other = F.when(F.col("level") == LEVELS + 2, 0).otherwise(F.col("tails") - 1)  # longer words are never tails themselves
-    tails_total = classes.agg(F.coalesce(F.sum("tails"), F.lit(0))).first()[0]
-    met = join_by_share(each.select("key", "level", "own"), each_class.select("own", F.col("tails").alias("rows"), "tails", "n", "e1", "e2"), "own", "rows", tails_total)
-    met = met.select("key", "level", *[(F.col(c) - other).alias(c) for c in ("n", "e1", "e2")])
-    met = met.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("level", "n", "e1", "e2"))).alias("seen"))
+    met = join_by_share(hashes.select("key", "level", "own"), each_class.select("own", F.col("tails").alias("rows"), "tails", "n", "e1", "e2", "on"), "own", "rows", tails_total)
+    met = met.select("key", "level", *[(F.col(c) - other).alias(c) for c in ("n", "e1", "e2")], "on")
+    longest = F.max(F.when(F.col("on") != int(_NONE), F.struct("level", "on"))).alias("longest")
+    met = met.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("level", "n", "e1", "e2"))).alias("seen"), longest)
 
     @F.pandas_udf("boolean")
     def is_cut(kinds: pd.Series, seen: pd.Series) -> pd.Series:
@@ -365,11 +423,20 @@ def truncated(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
             out.append(judge(kind, levels, styles, rates, longer)[0])
         return pd.Series(out)
 
-    judged = open_tails.select("key", "kind").join(met, "key").select("key", is_cut("kind", "seen").alias("cut"))
-    verdict = tails.select("key", "kind").join(judged, "key", "left").join(texts.select("key", "copies"), "key")
+    judged = open_tails.select("key", "kind").join(met, "key").select("key", F.col("longest.on").alias("on"), (is_cut("kind", "seen") & F.col("longest.on").isNotNull()).alias("cut"))
+    verdict = tails.select("key", "kind").join(judged, "key", "left").join(texts.select("key", "copies", "unit"), "key")
     # a mark of omission after an unfinished text is evidence of its own row; the texts before the mark may be equal
-    open_end = F.col("kind") != "whole"
-    verdict = verdict.select("key", "copies", (F.coalesce("cut", F.lit(False)) | (F.col("kind") == "part")).alias("cut"), open_end.alias("open")).filter("cut OR open")
+    verdict = verdict.select("key", "copies", "unit", "on", F.coalesce("cut", F.lit(False)).alias("cut"), (F.col("kind") != "whole").alias("open")).filter("cut OR open")
+    if not evidence:
+        verdict = verdict.drop("unit", "on")
     all_rows = texts.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     rows = base.select(*keep, "key", F.col("_text").rlike(OMITTED).alias("_omitted"))
-    return join_by_share(rows, verdict, "key", "copies", all_rows).filter("cut OR (open AND _omitted)").select(*keep)
+    cut = join_by_share(rows, verdict, "key", "copies", all_rows).filter("cut OR (open AND _omitted)")
+    if not evidence:
+        return cut.select(*keep)
+    named = distinct.groupBy(F.col("id").alias("on")).agg(F.max("unit").alias("longer"))
+    some = cut.groupBy("on").agg(F.count("*").alias("rows")).join(named, "on")
+    told = cut.select(*keep, F.col("unit").alias("tail"), "on")
+    count = told.count()
+    with_longer = join_by_share(told, some, "on", "rows", count)
+    return with_longer.select(*keep, "tail", "longer").unionByName(told.join(some.select("on"), "on", "left_anti").select(*keep, "tail", F.lit(None).cast("string").alias("longer")))

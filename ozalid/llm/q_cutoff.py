@@ -21,5 +21,10 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("d.source", "documents", F.coalesce("cut", F.lit(0)).alias("cut"), (F.coalesce("cut", F.lit(0)) / F.col("documents")).alias("share"))
 
 
-QUERIES = {"p9_found": p9_found, "p9_report": p9_report}
+def p9_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cut document with its last sentence or line and a longer one elsewhere that goes on where it stops."""
+    return truncated(spark.read.parquet(f"{sf_dir}/documents.parquet"), "text", ["doc_id"], evidence=True)
+
+
+QUERIES = {"p9_found": p9_found, "p9_evidence": p9_evidence, "p9_report": p9_report}
 ORACLE: dict[str, str] = {}

@@ -2,8 +2,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from ozalid.llm.cutoff import LEVELS, Corpus, Vocabulary, tokens, truncated, without_marks
+from ozalid.llm.cutoff import LEVELS, Corpus, Vocabulary, chance, tokens, truncated, units, without_marks
 
 PLACES = ["left lower lobe", "right upper lobe", "inner ear canal", "optic nerve head", "kidney cortex"]
 THINGS = ["a fluid level", "mild oedema", "a thin rim of fluid", "focal atrophy", "loss of contrast"]
@@ -28,9 +29,14 @@ def corpus(seed, n):
     return rng, texts
 
 
-@pytest.mark.parametrize(("text", "bare"), [("abc [...]", "abc"), ("abc (more)\n", "abc"), ("abc…", "abc"), ("abc..", "abc"), ("abc.", "abc."), ("ab\ufffd", "ab"), ("[...]", ""), ("  ", ""), ("abc [end of item]", "abc [end of item]")])
-def test_marks(text, bare):
-    assert without_marks(text) == bare
+@pytest.mark.parametrize(("text", "bare"), [("abc [...]", "abc"), ("abc (more)\n", "abc"), ("abc… (weiter)", "abc"), ("abc..", "abc"), ("abc.", "abc."), ("ab\ufffd", "ab"), ("[...]", ""), ("  ", ""), ("abc [end of item]", "abc [end of item]"), ("." * 100_000 + "x", "." * 100_000 + "x")])
+def test_marks(spark, text, bare):
+    assert spark.range(1).select(without_marks(F.lit(text))).first()[0] == bare
+
+
+@pytest.mark.parametrize(("text", "want"), [("A b 12.5 mm. C d?\n\n E  f", ["A b 0 mm.", "C d?\n", "E f"]), ("漢字。漢 字", ["漢字。", "漢 字"]), ("at 10:30, x47", ["at 0, x0"]), ("\n a", ["a"]), (" \u2003 ", []), (None, None)])
+def test_units(spark, text, want):
+    assert spark.range(1).select(units(F.lit(text).cast("string"))).first()[0] == want
 
 
 def test_tokens():
@@ -76,3 +82,22 @@ def test_near_copies_cut_at_one_place(spark):
     rows = [*enumerate(texts), *((5000 + i, t) for i, t in enumerate(cut))]
     got = {r["doc_id"] for r in truncated(spark.createDataFrame(rows, "doc_id long, text string"), "text", ["doc_id"]).collect()}
     assert {5000 + i for i in range(300)} <= got and len([i for i in got if i < 5000]) <= 5
+
+
+def test_cases_are_prefixes_of_longer_copies(spark):
+    """With evidence every case names a unit elsewhere that goes on where its tail stops."""
+    rng, texts = corpus(3, 900)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(5000, "Slice thickness was 3.1 mm. Follow-up in 7 weeks is sugg"), (5001, "There is mild oedema near the kidney cortex. Compared with the earlier study, mild oedema has"), (5002, "A b [...]")]
+    got = {r["doc_id"]: r for r in truncated(spark.createDataFrame(rows, "doc_id long, text string"), "text", ["doc_id"], evidence=True).collect()}
+    assert got[5000]["longer"].startswith("Follow-up in 0 weeks is suggested") and "has become stable" in got[5001]["longer"]
+    assert got[5002]["longer"] is None and got[5001]["tail"] == "Compared with the earlier study, mild oedema has"
+    assert [i for i in got if i < 5000] == []
+
+
+def test_nothing_is_cut_without_longer_copies(spark):
+    rows = [(i, f"Text {'abcdefghij'[i % 10]} stands alone") for i in range(200)]
+    assert truncated(spark.createDataFrame(rows, "doc_id long, text string"), "text", ["doc_id"]).count() == 0
+
+
+def test_equal_evidence_counts_once():
+    assert chance([(4, 0), (4, 0), (4, 0)], 0.5) == chance([(4, 0)], 0.5) > chance([(4, 0), (3, 0)], 0.5)
