@@ -339,7 +339,9 @@ def _window_counts(shared, bitmap):
             no = np.zeros(2 * len(closing) + len(longer), bool)
             e1 = np.concatenate([*[c.e1[where]] * LEVELS, *[c.good[closing]] * 2, no[: len(longer)]])
             e2 = np.concatenate([*[c.e2[where]] * LEVELS, no])
-            goes = np.concatenate([*[~c.e2[where]] * LEVELS, np.zeros(2 * len(closing), bool), ~no[: len(longer)]])
+            # where a prefix goes on; units that only begin alike are longer copies of a tail if they are whole
+            whole_units = ~np.append(pdf["final"].to_numpy(bool), True)[c.unit[closing]]
+            goes = np.concatenate([*[~c.e2[where]] * LEVELS, whole_units, whole_units, ~no[: len(longer)]])
             slot = h.view(np.uint64) % slots
             wanted = (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
             h, e1, e2, at, goes = h[wanted], e1[wanted], e2[wanted], at[wanted], goes[wanted]
@@ -409,7 +411,8 @@ def truncated(df: DataFrame, text: str, keep: list[str], evidence: bool = False)
     other = F.when(F.col("level") == LEVELS + 2, 0).otherwise(F.col("tails") - 1)  # longer words are never tails themselves
     met = join_by_share(hashes.select("key", "level", "own"), each_class.select("own", F.col("tails").alias("rows"), "tails", "n", "e1", "e2", "on"), "own", "rows", tails_total)
     met = met.select("key", "level", *[(F.col(c) - other).alias(c) for c in ("n", "e1", "e2")], "on")
-    longest = F.max(F.when(F.col("on") != int(_NONE), F.struct("level", "on"))).alias("longest")
+    # one token alone makes no copy
+    longest = F.max(F.when((F.col("on") != int(_NONE)) & (F.col("level") > 0), F.struct("level", "on"))).alias("longest")
     met = met.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("level", "n", "e1", "e2"))).alias("seen"), longest)
 
     @F.pandas_udf("boolean")
