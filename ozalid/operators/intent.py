@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ozalid.functions.scalars import cosine, total
+from ozalid.functions.scalars import total
 
 # The phrases of each track, in the order in which ties are decided.
 PHRASES = {
@@ -42,7 +44,12 @@ def best_label(scores: Column, label: str, score: str) -> Column:
 
 def phrase_track(question: Column, phrases: dict[str, tuple[str, ...]] = PHRASES) -> Column:
     """The track with most phrases, NULL if there is none at all."""
-    best = F.array(_best(track_scores(question, phrases), "track", "score"))
+    return track_of(track_scores(question, phrases))
+
+
+def track_of(scores: Column) -> Column:
+    """The track with most phrases of track_scores, NULL if there is none at all."""
+    best = F.array(_best(scores, "track", "score"))
     return F.get(F.filter(best, lambda b: b["s"] > 0), F.lit(0))["l"]
 
 
@@ -72,17 +79,38 @@ MOST_CENTROIDS = 10_000
 def nearest_centroid(df: DataFrame, vector: str, table: DataFrame, decimals: int = 9) -> DataFrame:
     """df with predicted, similarity and margin (top 1 less top 2, NULL for a single centroid).
 
-    The centroids travel as one broadcast array, so the rows neither multiply nor shuffle. Similarities are rounded
-    before they are compared; ties go to the smallest label.
+    The centroids are broadcast as unit vectors, and a batch of rows meets them in one matrix product, so the rows neither
+    multiply nor shuffle. Similarities are rounded before they are compared; ties go to the smallest label. A vector
+    without length, or of another length than the centroids, is similar to none: 0. No centroids: NULLs.
     """
     spark = df.sparkSession
-    few = table.limit(MOST_CENTROIDS + 1).collect()
+    few = sorted(table.limit(MOST_CENTROIDS + 1).collect(), key=lambda r: r["label"])
     if len(few) > MOST_CENTROIDS:
         raise ValueError(f"more than {MOST_CENTROIDS} centroids")
-    one = spark.createDataFrame([([(r["label"], r["centroid"]) for r in sorted(few, key=lambda r: r["label"])],)], f"_c array<struct<label:{table.schema['label'].dataType.simpleString()},centroid:array<double>>>")
-    met = df.crossJoin(F.broadcast(one))  # a single row
-    scored = F.transform("_c", lambda c: F.struct(F.round(cosine(F.col(vector), c["centroid"]), decimals).alias("s"), c["label"].alias("label")))
-    ranked = F.array_sort(scored, lambda a, b: F.when(a["s"] > b["s"], -1).when(a["s"] < b["s"], 1).when(a["label"] < b["label"], -1).when(a["label"] > b["label"], 1).otherwise(0))
-    with_rank = met.withColumn("_r", ranked)
-    first, second = F.get("_r", F.lit(0)), F.get("_r", F.lit(1))
-    return with_rank.withColumns({"predicted": first["label"], "similarity": first["s"], "margin": first["s"] - second["s"]}).drop("_c", "_r")
+    kind = table.schema["label"].dataType.simpleString()
+    matrix = _units([r["centroid"] for r in few], len(few[0]["centroid"]) if few else 0)
+    shared = spark.sparkContext.broadcast((matrix, [r["label"] for r in few]))
+
+    @F.pandas_udf(f"predicted {kind}, similarity double, margin double")
+    def nearest(vectors: pd.Series) -> pd.DataFrame:
+        matrix, labels = shared.value
+        if not labels:
+            return pd.DataFrame({"predicted": [None] * len(vectors), "similarity": None, "margin": None})
+        near = np.round(_units(vectors.array, matrix.shape[1]) @ matrix.T, decimals)
+        order = np.argsort(-near, axis=1, kind="stable")  # labels are sorted, so the smallest comes first
+        top = np.take_along_axis(near, order[:, :2], axis=1)
+        margin = top[:, 0] - top[:, 1] if len(labels) > 1 else None
+        return pd.DataFrame({"predicted": [labels[k] for k in order[:, 0]], "similarity": top[:, 0], "margin": margin})
+
+    found = df.withColumn("_n", nearest(F.col(vector)))
+    return found.withColumns({c: F.col(f"_n.{c}") for c in ("predicted", "similarity", "margin")}).drop("_n")
+
+
+def _units(vectors, width: int) -> np.ndarray:
+    """Vectors as rows of length 1; zeros for NULL ones, those without length and those of another width."""
+    rows = np.zeros((len(vectors), width))
+    for i, v in enumerate(vectors):
+        if v is not None and len(v) == width:
+            rows[i] = v
+    size = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)

@@ -38,8 +38,9 @@ def answers(scores: DataFrame) -> DataFrame:
 
 def fallback_reason(accepted: Column, loaded: Column, stage_ok: Column, gray_ok: Column, in_time: Column) -> Column:
     """Why an answer fell back, NULL if it didn't: malformed choices first; then image and stage states, to which a
-    timeout is joined with '+'; a timeout alone last."""
-    state = F.when(~loaded, F.lit("image_load_failed")).when(~stage_ok & ~gray_ok, F.lit("pipeline_failed_on_gray_canvas")).when(~stage_ok, F.lit("pipeline_stage_failed"))
+    timeout is joined with '+'; a timeout alone last. What can't be loaded or fails is tried on a gray canvas once: gray_ok
+    says whether that went well."""
+    state = F.when((~loaded | ~stage_ok) & ~gray_ok, F.lit("pipeline_failed_on_gray_canvas")).when(~loaded, F.lit("image_load_failed")).when(~stage_ok, F.lit("pipeline_stage_failed"))
     ended = state == F.lit("pipeline_failed_on_gray_canvas")
     late = F.when(state.isNull(), F.lit("inference_timeout")).otherwise(F.concat(state, F.lit("+inference_timeout")))
     return F.when(~accepted, F.lit("malformed_choices")).when(F.coalesce(ended, F.lit(False)), state).when(~in_time, late).otherwise(state)

@@ -22,17 +22,23 @@ def stride(depth: Column, most: int = MOST_SCORED) -> Column:
     return F.when(depth <= most, F.lit(1)).otherwise(F.floor(depth / most).cast("int"))
 
 
+def _with_group(df: DataFrame, by: str, *aggregates: Column) -> DataFrame:
+    """df with aggregates of its groups: added up before the shuffle and joined, so no group is one task's; NULL is a group."""
+    groups = df.groupBy(F.col(by).alias("_by")).agg(*aggregates)
+    return df.join(groups, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
+
+
 def candidates(df: DataFrame, volume: str, index: str, most: int = MOST_SCORED) -> DataFrame:
     """The slices that are scored: all up to `most`, else every depth div most-th. Depth is max(index) + 1 per volume."""
-    depth = (F.max(index).over(Window.partitionBy(volume)) + 1).cast("int")
-    return df.withColumn("_d", depth).filter(F.col(index) % stride(F.col("_d"), most) == 0).drop("_d")
+    deep = _with_group(df, volume, (F.max(index) + 1).cast("int").alias("_d"))
+    return deep.filter(F.col(index) % stride(F.col("_d"), most) == 0).drop("_d")
 
 
 def min_max(df: DataFrame, volume: str, column: str, out: str) -> DataFrame:
     """df with out, the column scaled to 0..1 within its volume; 0 where it hardly varies."""
-    w = Window.partitionBy(volume)
-    low, high = F.min(column).over(w), F.max(column).over(w)
-    return df.withColumn(out, F.when(high - low <= 1e-6, F.lit(0.0)).otherwise((F.col(column) - low) / (high - low)))
+    low, high = F.col("_low"), F.col("_high")
+    ranged = _with_group(df, volume, F.min(column).alias("_low"), F.max(column).alias("_high"))
+    return ranged.withColumn(out, F.when(high - low <= 1e-6, F.lit(0.0)).otherwise((F.col(column) - low) / (high - low))).drop("_low", "_high")
 
 
 def pick_slices(scores: DataFrame, volume: str, index: str, score: str, depth: str, k: int = SHOWN) -> DataFrame:
@@ -71,8 +77,8 @@ def rescaled(value: Column, slope: Column, intercept: Column) -> Column:
 
 def inverted(df: DataFrame, by: str, value: str, inverse: Column) -> DataFrame:
     """df with value mirrored within its range per group where inverse holds."""
-    w = Window.partitionBy(by)
-    return df.withColumn(value, F.when(inverse, F.max(value).over(w) + F.min(value).over(w) - F.col(value)).otherwise(F.col(value)))
+    ranged = _with_group(df.withColumn("_inverse", inverse), by, F.min(value).alias("_low"), F.max(value).alias("_high"))
+    return ranged.withColumn(value, F.when(F.col("_inverse"), F.col("_high") + F.col("_low") - F.col(value)).otherwise(F.col(value))).drop("_low", "_high", "_inverse")
 
 
 def window_bounds(df: DataFrame, by: list[str], value: str) -> DataFrame:

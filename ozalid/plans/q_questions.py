@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ozalid.operators.choices import choices_of, gold_letter, is_accepted, letters_of
-from ozalid.operators.intent import PHRASES, best_label, centroids, nearest_centroid, phrase_track, track_scores, with_track
+from ozalid.operators.intent import PHRASES, best_label, centroids, nearest_centroid, phrase_track, track_of, track_scores, with_track
 from ozalid.operators.prompts import STREAMS, TRACKS, prefix_prompt, system_prompts, user_prompt, with_system_prompt
 
 
@@ -75,8 +75,7 @@ def track_regex_scores(spark, sf_dir):
 
 
 def track_regex_argmax(spark, sf_dir):
-    q = table(spark, sf_dir, "qa_items")
-    return q.select("question_id", "loaded_at", phrase_track(F.col("question"), TEST_PHRASES).alias("track"), best_label(track_scores(F.col("question"), TEST_PHRASES), "track", "score").alias("always"))
+    return _scores(spark, sf_dir, TEST_PHRASES).select("question_id", "loaded_at", track_of(F.col("s")).alias("track"), best_label(F.col("s"), "track", "score").alias("always"))
 
 
 def track_production(spark, sf_dir):

@@ -154,7 +154,7 @@ SELECT query_id, letter AS answer, round(score, 6) AS top1_logit, round(next, 6)
     "prefix_loss_argmin": f"""WITH s AS (SELECT l_orderkey AS query_id, {_L}[l_suppkey % 4 + 1] AS letter, 0 - avg(trunc(l_discount * 100)::BIGINT) AS score FROM lineitem WHERE l_linenumber >= 2 GROUP BY ALL), r AS ({_RANKED})
 SELECT query_id, letter AS answer, round(score, 6) AS top1_logit, round(score - next, 6) AS logit_margin FROM r WHERE k = 1""",
     "fallback_reason_counts": _META + f""", n AS (SELECT *, substr(query_id, 3, 8)::BIGINT AS n, {_LETTERS} IN ('AB', 'ABCD') AS ok, coalesce(image <> '', false) AS loaded FROM d),
-t AS (SELECT *, CASE WHEN NOT loaded THEN 'image_load_failed' WHEN n % 22 = 0 THEN 'pipeline_failed_on_gray_canvas' WHEN n % 11 = 0 THEN 'pipeline_stage_failed' END AS state FROM n),
+t AS (SELECT *, CASE WHEN (NOT loaded OR n % 11 = 0) AND n % 22 = 0 THEN 'pipeline_failed_on_gray_canvas' WHEN NOT loaded THEN 'image_load_failed' WHEN n % 11 = 0 THEN 'pipeline_stage_failed' END AS state FROM n),
 u AS (SELECT *, CASE WHEN NOT ok THEN 'malformed_choices' WHEN state = 'pipeline_failed_on_gray_canvas' THEN state WHEN n % 7 = 0 THEN coalesce(state || '+', '') || 'inference_timeout' ELSE coalesce(state, '') END AS fallback_reason FROM t)
 SELECT fallback_reason, CASE WHEN fallback_reason IN ('malformed_choices', 'pipeline_failed_on_gray_canvas') OR fallback_reason LIKE '%inference_timeout' THEN 'A' ELSE {_L}[n % 4 + 1] END AS answer, count(*) AS row_count FROM u GROUP BY ALL""",
     "accuracy_overall": f"SELECT {_SUMMARY} FROM diagnostics",

@@ -20,7 +20,7 @@ def _slices(spark, sf_dir):
 def percentile_window(spark, sf_dir):
     s = _slices(spark, sf_dir)
     b = vol.window_bounds(s, ["volume"], "value")
-    w = s.join(F.broadcast(b), "volume")  # one row per event type
+    w = s.join(b, "volume")
     return w.select("event_id", vol.to_byte(F.col("value"), F.col("lo"), F.col("hi"), F.col("least"), F.col("most")).alias("byte"))
 
 
@@ -95,7 +95,7 @@ def hist_entropy(spark, sf_dir):
     """Entropy in base 2 of 32 equal bins, over its greatest value 5."""
     s = _slices(spark, sf_dir)
     top = s.groupBy("volume").agg(F.max("value").alias("m"))
-    b = s.join(F.broadcast(top), "volume").filter("value >= 0 AND m > 0").select("volume", F.least(F.lit(31), F.floor(F.col("value") / F.col("m") * 32)).alias("bin"))
+    b = s.join(top, "volume").filter("value >= 0 AND m > 0").select("volume", F.least(F.lit(31), F.floor(F.col("value") / F.col("m") * 32)).alias("bin"))
     n = b.groupBy("volume", "bin").agg(F.count("*").alias("n"))
     p = F.col("n") / F.sum("n").over(Window.partitionBy("volume"))
     return n.withColumn("p", p).groupBy("volume").agg(F.round(-F.sum(F.col("p") * F.log2("p")) / 5, 6).alias("entropy"))
@@ -112,7 +112,7 @@ def projection_policies(spark, sf_dir):
     s = _slices(spark, sf_dir).withColumn("cell", F.col("event_id") % 16)
     mip = s.groupBy("volume", "cell").agg(F.max("value").alias("brightest"))
     full = s.groupBy("volume", "slice").agg(F.count_if(F.col("value") > 50).alias("n")).groupBy("volume").agg(F.min(F.struct(-F.col("n"), F.col("slice"))).alias("m"), F.floor((F.max("slice") + 1) / 2).cast("int").alias("middle"))
-    return mip.join(F.broadcast(full), "volume").select("volume", "cell", F.round("brightest", 6).alias("brightest"), F.col("m.slice").alias("fullest"), "middle")
+    return mip.join(full, "volume").select("volume", "cell", F.round("brightest", 6).alias("brightest"), F.col("m.slice").alias("fullest"), "middle")
 
 
 def ct_keyword_windows(spark, sf_dir):

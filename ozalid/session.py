@@ -29,11 +29,15 @@ def build_session(app: str = "ozalid", cpus: int | None = None, **conf: str) ->
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where it names none."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. A session on one machine that names none gets a
+    temporary folder; on a cluster, where others couldn't read that, it is an error."""
     there = spark.sparkContext.getCheckpointDir()
     if there:
         return there
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not named and master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="ozalid-checkpoint-"))
     return spark.sparkContext.getCheckpointDir()
 

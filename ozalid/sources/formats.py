@@ -34,36 +34,55 @@ _CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 _PNG = b"\x89PNG\r\n\x1a\n"
 
 
+#: Bytes of the rows that are decoded along their diagonals at once, and the least number of rows.
+_BLOCK_BYTES, _BLOCK_ROWS = 8_000_000, 64
+
+
 def _unfilter(raw: bytes, height: int, row: int, step: int) -> np.ndarray:
-    out = np.zeros((height + 1, row + step), np.uint8)  # a zero row above and zero pixels at the left
+    """The bytes of the rows, whose differences to the bytes left and above are stored."""
     lines = np.frombuffer(raw, np.uint8)[: height * (row + 1)].reshape(height, row + 1)
-    for y in range(height):
-        kind, line, up = lines[y, 0], lines[y, 1:], out[y]
-        here = out[y + 1]
-        if kind == 0:
-            here[step:] = line
-        elif kind == 2:
-            here[step:] = line + up[step:]
-        elif kind == 1:
-            for k in range(step):
-                here[step + k :: step] = np.cumsum(line[k::step], dtype=np.uint64).astype(np.uint8)
-        elif kind in (3, 4):
-            a, b = [0] * (row + step), up.tolist()
-            data = line.tolist()
-            for x in range(row):
-                left, above = a[x], b[x + step]
-                if kind == 3:
-                    guess = (left + above) >> 1
-                else:
-                    corner = b[x]
-                    p = left + above - corner
-                    da, db, dc = abs(p - left), abs(p - above), abs(p - corner)
-                    guess = left if da <= db and da <= dc else above if db <= dc else corner
-                a[x + step] = (data[x] + guess) & 255
-            here[:] = a
+    kinds = lines[:, 0]
+    if (kinds > 4).any():
+        raise DecodeError(f"PNG filter {kinds.max()}")
+    wide = -(-row // step)
+    data = np.zeros((height, wide * step), np.uint8)
+    data[:, :row] = lines[:, 1:]
+    data = data.reshape(height, wide, step)
+    above = np.zeros((wide, step), np.uint8)
+    block = max(_BLOCK_ROWS, _BLOCK_BYTES // max(1, row))
+    for y in range(0, height, block):
+        part = kinds[y : y + block]
+        if (part > 2).any():
+            data[y : y + block] = _diagonals(part, data[y : y + block], above)
         else:
-            raise DecodeError(f"PNG filter {kind}")
-    return out[1:, step:]
+            for k, kind in enumerate(part, y):
+                if kind == 1:
+                    data[k] = np.cumsum(data[k], axis=0, dtype=np.uint64).astype(np.uint8)
+                elif kind == 2:
+                    data[k] += data[k - 1] if k else 0
+        above = data[min(y + block, height) - 1]
+    return data.reshape(height, -1)[:, :row]
+
+
+def _diagonals(kinds: np.ndarray, data: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """A block of rows of any filters. A byte depends on those left, above and left above, which all lie on earlier
+    diagonals, so all rows advance together; cell (x, y) is kept at [x + y + 2, y + 1], the row above at y = -1."""
+    h, w, step = data.shape
+    yy, xx = np.indices((h, w))
+    stored = np.zeros((h + w + 2, h, step), np.int16)
+    stored[xx + yy + 2, yy] = data
+    done = np.zeros((h + w + 2, h + 1, step), np.int16)
+    done[np.arange(w) + 1, 0] = above
+    one, two, three, four = (kinds[:, None] == k for k in (1, 2, 3, 4))
+    for t in range(2, h + w + 1):
+        lo, hi = max(0, t - 1 - w), min(h, t - 1)
+        left, up, corner = done[t - 1, lo + 1 : hi + 1], done[t - 1, lo:hi], done[t - 2, lo:hi]
+        over, beside = up - corner, left - corner
+        da, db, dc = np.abs(over), np.abs(beside), np.abs(over + beside)
+        paeth = np.where((da <= db) & (da <= dc), left, np.where(db <= dc, up, corner))
+        guess = left * one[lo:hi] + up * two[lo:hi] + ((left + up) >> 1) * three[lo:hi] + paeth * four[lo:hi]
+        done[t, lo + 1 : hi + 1] = (stored[t, lo:hi] + guess) & 255
+    return done[xx + yy + 2, yy + 1].astype(np.uint8)
 
 
 @guarded

@@ -21,6 +21,8 @@ from ozalid.sources import formats
 RASTERS = (".png", ".jpg", ".jpeg", ".bmp", ".tif", ".tiff", ".gif", ".webp", ".ppm", ".pgm")
 CHANNEL = r"(?i)_(red|green|blue|yellow)( \([0-9]+\))?\.\w+$"
 PICTURE = "height int, width int, data binary, load_error string"
+#: Names of rasters but PNG, as a glob pattern in any case: other files aren't opened by the image source.
+_OTHERS = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in suffix[1:]) for suffix in RASTERS if suffix != ".png") + "}"
 #: Rows of a batch that holds pixels.
 BATCH = 32
 
@@ -147,7 +149,7 @@ def pictures(spark: SparkSession, path: str) -> DataFrame:
 
 def rasters(spark: SparkSession, path: str) -> DataFrame:
     """Rasters by Spark's image source (JVM decoders, channels blue first); broken files keep a row with load_error."""
-    image = spark.read.format("image").option("recursiveFileLookup", "true").load(path).select("image.*")
+    image = spark.read.format("image").option("recursiveFileLookup", "true").option("pathGlobFilter", _OTHERS).load(path).select("image.*")
 
     @F.pandas_udf(PICTURE)
     def rgb(height: pd.Series, width: pd.Series, n: pd.Series, data: pd.Series) -> pd.DataFrame:

@@ -29,14 +29,14 @@ def test_items_in_three_layouts(spark, tmp_path):
     (folder / "a.json").write_text(json.dumps(items))
     (folder / "b.json").write_text("\n " + json.dumps(items, indent=2))
     (folder / "c.json").write_text("\n\n".join(json.dumps(i) for i in items) + "\n")
-    assert tables.list_datasets(str(tmp_path)) == ["a", "b", "c"]
+    assert tables.list_datasets(spark, str(tmp_path)) == ["a", "b", "c"]
     df, missing = tables.read_datasets(spark, str(tmp_path), ["a", "b", "c", "d"])
     assert missing == ["d"] and {(r["dataset"], r["n"]) for r in df.groupBy("dataset").agg(F.count("*").alias("n")).collect()} == {("a", 3), ("b", 3), ("c", 3)}
     assert df.first()["gt_answer"] is None
     with pytest.raises(FileNotFoundError):
         tables.read_datasets(spark, str(tmp_path), ["d"])
     with pytest.raises(FileNotFoundError):
-        tables.require_root(str(tmp_path / "none"))
+        tables.require_root(spark, str(tmp_path / "none"))
 
 
 def touch(root, *names):
@@ -52,9 +52,9 @@ def test_adapters(spark, tmp_path):
     touch(flat, "imagesTr/B1.nii.gz", "imagesTr/._junk.nii.gz", "imagesTs/B2.nii.gz")
     touch(cases, "P1/P1_flair.nii", "P1/P1_a.nii", "P1/P1_seg.nii", "P2/P2_t1.nii")
     touch(us, "Benign/b (1).png", "Benign/b (1)_mask.png", "malignant/m.png", "normal/n.png", "odd/o.png")
-    assert sorted(r["letter"] for r in tables.graded_scans(spark, str(ct)).collect()) == ["B", "D"]
-    assert tables.brain_scans(spark, str(flat)).count() == 1
-    assert sorted(r["path"].rsplit("/", 1)[1] for r in tables.brain_scans(spark, str(cases)).collect()) == ["P1_flair.nii", "P2_t1.nii"]
+    assert sorted(r["letter"] for r in tables.graded_scans(tables._names(spark, str(ct))).collect()) == ["B", "D"]
+    assert tables.brain_scans(tables._names(spark, str(flat))).count() == 1
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in tables.brain_scans(tables._names(spark, str(cases))).collect()) == ["P1_flair.nii", "P2_t1.nii"]
     got = tables.prepare_items(spark, "BUSI", str(us)).collect()
     assert sorted(r["question_id"] for r in got) == ["BUSI_00000", "BUSI_00001", "BUSI_00002"]
     assert {r["split"] for r in got} == {"train", "eval"} and {r["option_D"] for r in got} == {None}
@@ -62,14 +62,17 @@ def test_adapters(spark, tmp_path):
     tables.write_items(tables.prepare_items(spark, "BUSI", str(us)), str(tmp_path / "out"))
     again = tables.read_items(spark, [str(tmp_path / "out" / "split=train"), str(tmp_path / "out" / "split=eval")])
     assert again.count() == 3
+    tables.write_split_files(tables.prepare_items(spark, "BUSI", str(us)), str(tmp_path / "files"), "BUSI")
+    assert sorted(p.name for p in (tmp_path / "files").glob("*.json")) == ["BUSI_eval.json", "BUSI_train.json"]
+    assert tables.read_items(spark, [str(tmp_path / "files" / "BUSI_train.json"), str(tmp_path / "files" / "BUSI_eval.json")]).filter("gt_answer IS NOT NULL").count() == 3
 
 
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("q1", None, "B", True, 0.5, "radiology", None, 4, False, "", 1.0, None, None)], "query_id string, answer string, gold string, correct boolean, inference_time double, predicted_modality string, predicted_intent string, n_choices int, fallback_triggered boolean, fallback_reason string, top1_logit double, top2_logit double, logit_margin double")
     tables.write_csv(tables.submission(df), str(tmp_path / "s"), single=True)
-    assert next((tmp_path / "s").glob("*.csv")).read_bytes() == b"query_id,answer,inference_time\r\nq1,A,0.5000\r\n"
+    assert (tmp_path / "s").read_bytes() == b"query_id,answer,inference_time\r\nq1,A,0.5000\r\n"
     tables.write_csv(tables.diagnostic(df), str(tmp_path / "d"), single=True)
-    assert next((tmp_path / "d").glob("*.csv")).read_bytes().split(b"\r\n")[1] == b"q1,,B,True,0.5,radiology,,4,False,,1.0,,"
+    assert (tmp_path / "d").read_bytes().split(b"\r\n")[1] == b"q1,,B,True,0.5,radiology,,4,False,,1.0,,"
 
 
 def gray(n):
@@ -103,12 +106,18 @@ def test_pipeline_keeps_every_query(spark, folder):
     rows = [("1", "a.png", "grade?", c("x", "y")), ("2", "broken.png", "q", c("x", "y")), ("3", None, None, c("x", "y")), ("4", "a.png", "q", c("x", "y", "z")), ("5", "v.nii", "q", c("w", "x", "y", "z"))]
     queries = spark.createDataFrame(rows, "query_id string, sample string, question string, choices array<struct<letter:string,text:string>>")
 
-    def scorer(df):
+    def scorer(df, pictures):
         each = df.select("query_id", F.explode("choices").alias("c"))
         return each.select("query_id", "c.letter", F.lit("v").alias("variant"), F.ascii("c.letter").cast("double").alias("logit"), F.when(F.col("query_id") == "5", 9.0).otherwise(1.0).alias("seconds"))
 
     got = {r["query_id"]: (r["answer"], r["fallback_reason"]) for r in pipeline.predict(queries, prepared, scorer).collect()}
     assert got == {"1": ("B", ""), "2": ("B", "image_load_failed"), "3": ("B", "image_load_failed"), "4": ("A", "malformed_choices"), "5": ("A", "inference_timeout")}
+    full = {r["query_id"]: r for r in pipeline.predict(queries, prepared, scorer).collect()}
+    assert full["4"]["predicted_modality"] is None and full["4"]["predicted_intent"] is None and full["4"]["n_choices"] == 3
+    assert full["5"]["top1_logit"] is None and full["5"]["predicted_modality"] is not None and full["3"]["predicted_modality"] is not None
+    calls = []
+    first = {r["query_id"]: r["answer"] for r in pipeline.predict_letters(queries, prepared, lambda df, p: (calls.append(df), scorer(df, p))[1]).collect()}
+    assert first == {"1": "B", "2": "A", "3": "A", "4": "A", "5": "A"} and [sorted(r["query_id"] for r in c.collect()) for c in calls] == [["1", "5"]]
     log = pipeline.evaluate(pipeline.predict(queries, prepared, scorer), queries.select("query_id", F.lit("B").alias("gt_answer"), "choices"))
     assert log.filter("correct").count() == 3
 
@@ -122,3 +131,19 @@ def test_stream(spark, tmp_path, sf):
     stream.run(df, answer, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == d.select("query_id").distinct().count() == got.select("query_id").distinct().count()
+
+
+def test_canvas_that_fails(spark, monkeypatch):
+    """What fails on the gray canvas, too, gets the fallback letter and nothing else."""
+    data = bytes(8 * 8 * 3)
+    pictures = spark.createDataFrame([("p", 8, 8, data, None), ("gone", None, None, None, "no file")], f"sample string, {images.PICTURE}")
+    rows = pipeline.prepared(pictures, {"no such option": 1}).collect()
+    assert all(r["stream"] is not None for r in rows)
+    failed = spark.createDataFrame([("p", None, None, None, None, None, None, "stage"), ("gone", None, None, None, None, None, "no file", None)], "sample string, stream string, subtype string, height int, width int, data binary, load_error string, stage_error string")
+    queries = spark.createDataFrame([(n, n, "q", [("A", "x"), ("B", "y")]) for n in ("p", "gone")], "query_id string, sample string, question string, choices array<struct<letter:string,text:string>>")
+
+    def scorer(df, pictures):
+        return df.select("query_id", F.lit("B").alias("letter"), F.lit("v").alias("variant"), F.lit(1.0).alias("logit"))
+
+    got = pipeline.predict(queries, failed, scorer).collect()
+    assert {(r["answer"], r["fallback_reason"], r["predicted_modality"], r["top1_logit"]) for r in got} == {("A", "pipeline_failed_on_gray_canvas", None, None)}
