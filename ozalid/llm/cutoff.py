@@ -50,31 +50,43 @@ PART = 12
 
 _TOKEN = re.compile(r"\n+| - |[0-9]+(?:[.,:/][0-9]+)*(?![A-Za-z0-9])|[A-Za-z]*[0-9][A-Za-z0-9]*|[぀-ヿ㐀-鿿]|(?:(?![぀-ヿ㐀-鿿])[^\W\d_])+|\S")
 _DIGITS = frozenset("0123456789")
-_DOTS = r"\.{2,}|\u2026"
-#: A mark that says by itself that something is missing: a broken character, or dots in brackets.
-OMITTED = rf"(?:\uFFFD|[\[(]\s*(?:{_DOTS})\s*[\])])\s*$"
+#: A mark that says by itself that something is missing: a broken character, or dots in brackets; within the last OMITTED_IN
+#: characters.
+OMITTED, OMITTED_IN = r"(?:\uFFFD|[\[(]\s{0,8}(?:\.{2,8}|\u2026)\s{0,8}[\])])$", 30
 _BLANKS = " \t\n\r\f\x0b\xa0\u2026\ufffd"
-#: Dots, and dots or one word in brackets, at the end: no part of the text.
-_MARK = rf"(?:(?<!\.)\.{{2,}}+|[\[(]\s*(?:{_DOTS}|[\p{{L}}]{{1,12}})\s*[\])])$"
+#: Dots or one word in brackets at the end: no part of the text.
+_BRACKETED = r"[\[(]\s*+(?:\.{2,}+|\u2026|\p{L}{1,12}+)\s*+[\])]$"
+#: Stands between units while a text is split.
+_CUT = "\x01"
 _BREAKS = frozenset((".", "?", "!", ";", ",", ":", "。", "，", "；", "：", "？", "！", " - ", "|", "\n"))
 LEVELS = 7
 PAD, LINE = 1, 5  # the numbers of no token and of a line break
 _PAD = [PAD] * 6
 
 
-def without_marks(text: Column) -> Column:
-    """text without white space and up to two marks of omission at its end."""
+def with_bare(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with `out`, df[text] without white space and up to two marks of omission at its end; each step is computed once."""
+    df = df.withColumn(out, F.rtrim(F.col(text), F.lit(_BLANKS)))
+    at = F.col(out)
     for _ in range(2):
-        text = F.regexp_replace(F.rtrim(text, F.lit(_BLANKS)), _MARK, "")
-    return F.rtrim(text, F.lit(_BLANKS))
+        df = df.withColumn(out, F.when(at.endswith(".."), F.rtrim(at, F.lit("." + _BLANKS))).otherwise(at))
+        closed = at.endswith("]") | at.endswith(")")
+        df = df.withColumn(out, F.when(closed, F.rtrim(F.regexp_replace(at, _BRACKETED, ""), F.lit(_BLANKS))).otherwise(at))
+    return df
 
 
 def units(text: Column) -> Column:
     """The sentences and lines of text, numbers as 0, runs of blanks as one; a line's last unit keeps its line break."""
     plain = F.regexp_replace(text, r"[0-9]++(?:[.,:/][0-9]++)*+", "0")
-    plain = F.regexp_replace(F.regexp_replace(plain, r"(?U)[\s\x1c-\x1f&&[^\n]]++", " "), r" ?\n[ \n]*+", "\n")
-    split = F.split(F.ltrim(plain, F.lit(" \n")), r"(?<=[.?!]) |(?<=[\u3002\uFF1F\uFF01])(?!\n)|(?<=\n)")
-    return F.filter(split, lambda u: ~u.isin("", " "))
+    blank = r"[\s\x00-\x1F&&[^\n]]"
+    plain = F.regexp_replace(plain, rf"(?U)(?:{blank}{{2,}}+|[\s\x00-\x1F&&[^\n ]])", " ")
+    plain = F.regexp_replace(plain, r" ?\n[ \n]*+", "\n")
+    for mark in ".?!":
+        plain = F.replace(plain, F.lit(mark + " "), F.lit(mark + _CUT))
+    for mark in "\u3002\uff1f\uff01\n":
+        plain = F.replace(plain, F.lit(mark), F.lit(mark + _CUT))
+    split = F.split(F.replace(plain, F.lit(_CUT + "\n"), F.lit("\n")), _CUT)
+    return F.filter(split, lambda u: ~u.isin("", " ", "\n"))
 
 
 def tokens(text: str) -> list[str]:
@@ -379,12 +391,14 @@ def truncated(df: DataFrame, text: str, keep: list[str], evidence: bool = False)
     in brackets count there.
     """
     spark = df.sparkSession
-    base = df.select(*keep, F.col(text).alias("_text")).filter("_text IS NOT NULL").withColumn("s", without_marks(F.col("_text")))
-    base = base.filter("s <> ''").withColumn("key", F.md5("s"))
-    texts = base.groupBy("key", "s").agg(F.count("*").alias("copies")).withColumn("units", units(F.col("s"))).filter("size(units) > 0")
+    given = df.select(*keep, F.col(text).alias("_text")).filter("_text IS NOT NULL").withColumn("key", F.md5("_text"))
+    # no filter before the texts are written: it would be pushed down and compute their units twice
+    distinct_texts = given.select("key", F.col("_text").alias("s")).groupBy("key", "s").agg(F.count("*").alias("copies"))
+    texts = with_bare(distinct_texts, "s", "s").withColumn("units", units(F.col("s")))
     size = F.size("units")
-    before = F.array_join(F.slice("units", F.greatest(F.lit(1), size - 3), F.least(F.lit(3), size - 1)), " ")
-    texts = cut_lineage(texts.select("key", "copies", F.slice("units", F.lit(1), size - 1).alias("inner"), F.element_at("units", -1).alias("unit"), before.alias("before")))
+    before = F.array_join(F.slice("units", F.greatest(F.lit(1), size - 3), F.greatest(F.lit(0), F.least(F.lit(3), size - 1))), " ")
+    texts = texts.select("key", "copies", F.slice("units", F.lit(1), F.greatest(F.lit(0), size - 1)).alias("inner"), F.get("units", size - 1).alias("unit"), before.alias("before"))
+    texts = cut_lineage(texts).filter("unit IS NOT NULL")
     each = texts.select(F.explode("inner").alias("unit"), F.lit(False).alias("final")).unionByName(texts.select("unit", F.lit(True).alias("final")))
     distinct = cut_lineage(each.groupBy("unit", "final").agg(F.count("*").alias("n")).withColumn("id", F.xxhash64("unit")))
     words = cut_lineage(distinct.mapInPandas(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
@@ -433,7 +447,8 @@ def truncated(df: DataFrame, text: str, keep: list[str], evidence: bool = False)
     if not evidence:
         verdict = verdict.drop("unit", "on")
     all_rows = texts.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
-    rows = base.select(*keep, "key", F.col("_text").rlike(OMITTED).alias("_omitted"))
+    ending = F.right(F.rtrim(F.col("_text"), F.lit(" \t\n\r\f\x0b\xa0")), F.lit(OMITTED_IN))
+    rows = given.select(*keep, "key", ending.rlike(OMITTED).alias("_omitted"))
     cut = join_by_share(rows, verdict, "key", "copies", all_rows).filter("cut OR (open AND _omitted)")
     if not evidence:
         return cut.select(*keep)

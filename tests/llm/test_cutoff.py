@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ozalid.llm.cutoff import LEVELS, Corpus, Vocabulary, chance, tokens, truncated, units, without_marks
+from ozalid.llm.cutoff import LEVELS, Corpus, Vocabulary, chance, tokens, truncated, units, with_bare
 
 PLACES = ["left lower lobe", "right upper lobe", "inner ear canal", "optic nerve head", "kidney cortex"]
 THINGS = ["a fluid level", "mild oedema", "a thin rim of fluid", "focal atrophy", "loss of contrast"]
@@ -31,10 +31,10 @@ def corpus(seed, n):
 
 @pytest.mark.parametrize(("text", "bare"), [("abc [...]", "abc"), ("abc (more)\n", "abc"), ("abc… (weiter)", "abc"), ("abc..", "abc"), ("abc.", "abc."), ("ab\ufffd", "ab"), ("[...]", ""), ("  ", ""), ("abc [end of item]", "abc [end of item]"), ("." * 100_000 + "x", "." * 100_000 + "x")])
 def test_marks(spark, text, bare):
-    assert spark.range(1).select(without_marks(F.lit(text))).first()[0] == bare
+    assert with_bare(spark.createDataFrame([(text,)], "t string"), "t", "t").first()[0] == bare
 
 
-@pytest.mark.parametrize(("text", "want"), [("A b 12.5 mm. C d?\n\n E  f", ["A b 0 mm.", "C d?\n", "E f"]), ("漢字。漢 字", ["漢字。", "漢 字"]), ("at 10:30, x47", ["at 0, x0"]), ("\n a", ["a"]), (" \u2003 ", []), (None, None)])
+@pytest.mark.parametrize(("text", "want"), [("A b 12.5 mm. C d?\n\n E  f", ["A b 0 mm.", "C d?\n", "E f"]), ("漢字。漢 字", ["漢字。", "漢 字"]), ("at 10:30, x47", ["at 0, x0"]), ("漢字？\n次", ["漢字？\n", "次"]), ("a.\tb\x01c\u2003 d", ["a.", "b c d"]), ("\n a", ["a"]), (" \u2003 ", []), (None, None)])
 def test_units(spark, text, want):
     assert spark.range(1).select(units(F.lit(text).cast("string"))).first()[0] == want
 
