@@ -28,9 +28,10 @@ def case_split_by_segment(spark, sf_dir):
 
 
 def split_disjoint(spark, sf_dir):
-    """Nations of customers that are in both halves of a split: none."""
+    """Customers and nations of each half of a split, and the nations that are in both: none."""
     s = case_split(table(spark, sf_dir, "customer"), "c_nationkey", 0.2, 42)
-    return s.filter("split = 'eval'").select("c_nationkey").distinct().join(s.filter("split = 'train'").select("c_nationkey").distinct(), "c_nationkey", "left_semi")
+    halves = s.groupBy("c_nationkey").agg(F.count_distinct("split").alias("halves"), F.min("split").alias("split"), F.count("*").alias("rows"))
+    return halves.groupBy("split").agg(F.count("*").alias("nations"), F.sum("rows").alias("customers"), F.count_if(F.col("halves") > 1).alias("in_both"))
 
 
 ROOT = "/data"
@@ -122,7 +123,8 @@ ORACLE = {
 SELECT CASE WHEN r <= greatest(1, round_even(n * 0.2, 0)) THEN 'eval' ELSE 'train' END AS split, count(*) AS row_count, count(DISTINCT case_id) AS cases FROM c JOIN k USING (case_id) GROUP BY 1""",
     "case_split_by_segment": """WITH k AS (SELECT c_mktsegment, c_nationkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('1|' || c_nationkey), c_nationkey) AS r, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM (SELECT DISTINCT c_mktsegment, c_nationkey FROM customer))
 SELECT c_custkey, CASE WHEN r <= greatest(1, round_even(n * 0.5, 0)) THEN 'eval' ELSE 'train' END AS split FROM customer JOIN k USING (c_mktsegment, c_nationkey)""",
-    "split_disjoint": "SELECT c_nationkey FROM customer WHERE false",
+    "split_disjoint": """WITH k AS (SELECT c_nationkey, row_number() OVER (ORDER BY md5('42|' || c_nationkey), c_nationkey) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT c_nationkey FROM customer))
+SELECT CASE WHEN r <= greatest(1, round_even(n * 0.2, 0)) THEN 'eval' ELSE 'train' END AS split, count(DISTINCT c_nationkey) AS nations, count(*) AS customers, 0 AS in_both FROM customer JOIN k USING (c_nationkey) GROUP BY 1""",
     "path_resolution": f"""WITH l AS (SELECT DISTINCT CASE n % 4 WHEN 1 THEN '{ROOT}/' || c WHEN 2 THEN '{ROOT}/Images/' || c WHEN 3 THEN '{ROOT}/Images/' || upper(regexp_replace(c, '{_SUF}', '')) || ' (' || (n % 3 + 1) || ')' || regexp_extract(c, '{_SUF}', 1) END AS path FROM (SELECT substr(query_id, 3, 8)::BIGINT AS n, trim(image) AS c FROM dev_metadata WHERE image <> '') WHERE n % 4 <> 0),
 q AS (SELECT query_id, max(image) AS image FROM dev_metadata GROUP BY 1), c AS (SELECT query_id, trim(image) AS c FROM q WHERE trim(image) <> ''),
 x AS (SELECT query_id, 0 AS i, c AS path FROM c WHERE c LIKE '/%' UNION ALL SELECT query_id, 1, '{ROOT}/' || c FROM c UNION ALL SELECT query_id, 2, '{ROOT}/Images/' || c FROM c UNION ALL SELECT query_id, 3, '{ROOT}/Images/' || split_part(c, '/', -1) FROM c),

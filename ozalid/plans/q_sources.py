@@ -61,6 +61,12 @@ def graded_folders(spark, sf_dir):
     return tables.graded_scans(_paths(spark, sf_dir, "raw/studies/", _one_of("p_size", *_GRADES), "/", F.when(F.col("p_partkey") % 11 == 0, "._").otherwise(""), "study_", F.col("p_partkey").cast("string"), _one_of("p_partkey", *_KINDS)))
 
 
+def prepared_items(spark, sf_dir):
+    """Numbered items with fixed question and options, and their split, of the graded scans."""
+    items = tables.items_of_cases(graded_folders(spark, sf_dir), "MosMedData")
+    return items.select("question_id", "question_type", "question", "gt_answer", "image_path", "option_A", "option_D", "modality_type", "split")
+
+
 def class_folders(spark, sf_dir):
     return tables.class_folders(_paths(spark, sf_dir, "raw/", _one_of("p_size", *_CLASSES), "/c (", F.col("p_partkey").cast("string"), _one_of("p_partkey", *_PICTURES)))
 
@@ -99,21 +105,29 @@ def decoded_files(spark, sf_dir):
     return e.mapInPandas(run, "vec_id long, height int, width int, pixel_sum long, failed boolean")
 
 
-QUERIES = {f.__name__: f for f in (metadata_file, submission_file, diagnostic_file, items_files, graded_folders, class_folders, case_folders, image_kinds, decoded_files)}
+QUERIES = {f.__name__: f for f in (metadata_file, submission_file, diagnostic_file, items_files, graded_folders, prepared_items, class_folders, case_folders, image_kinds, decoded_files)}
 
 
 def _sql_of(key: str, *values: str) -> str:
     return f"list_value({', '.join(repr(v) for v in values)})[{key} % {len(values)} + 1]"
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+_GRADED = f"""SELECT 'raw/studies/' || g || '/study_' || p_partkey || k AS path, CASE upper(replace(g, '_', '-')) WHEN 'CT-0' THEN 'A' WHEN 'CT-1' THEN 'B' WHEN 'CT-2' THEN 'C' ELSE 'D' END AS letter
+FROM (SELECT p_partkey, {_sql_of('p_size', *_GRADES)} AS g, {_sql_of('p_partkey', *_KINDS)} AS k FROM part) WHERE p_partkey % 11 <> 0 AND g NOT IN ('CT-9', 'other') AND k <> '.png'"""
 _SUBMITTED = _SCORING["submission_rows"]
 ORACLE = {
     "metadata_file": _META + f"SELECT query_id, nullif({_strip('image')}, '') AS image, nullif(question, '') AS question, {_LETTERS} AS letters, {_TEXTS} AS texts FROM d",
     "submission_file": f"SELECT query_id, answer, inference_time FROM ({_SUBMITTED})",
     "diagnostic_file": "SELECT query_id, answer, CASE WHEN correct THEN 'True' WHEN NOT correct THEN 'False' END AS correct, n_choices, CASE WHEN fallback_triggered THEN 'True' WHEN NOT fallback_triggered THEN 'False' END AS fallback_triggered, coalesce(fallback_reason, '') AS fallback_reason, coalesce(predicted_modality, '') AS predicted_modality, top1_logit, inference_time FROM diagnostics",
     "items_files": f"SELECT coalesce(dataset, 'none') AS dataset, question_id, question, gt_answer, {', '.join(OPTIONS)}, 'absent' AS missing FROM qa_items",
-    "graded_folders": f"""SELECT 'raw/studies/' || g || '/study_' || p_partkey || k AS path, CASE upper(replace(g, '_', '-')) WHEN 'CT-0' THEN 'A' WHEN 'CT-1' THEN 'B' WHEN 'CT-2' THEN 'C' ELSE 'D' END AS letter
-FROM (SELECT p_partkey, {_sql_of('p_size', *_GRADES)} AS g, {_sql_of('p_partkey', *_KINDS)} AS k FROM part) WHERE p_partkey % 11 <> 0 AND g NOT IN ('CT-9', 'other') AND k <> '.png'""",
+    "graded_folders": _GRADED,
+    "prepared_items": f"""WITH g AS ({_GRADED}), r AS (SELECT *, row_number() OVER (ORDER BY path) - 1 AS i, row_number() OVER (ORDER BY md5('42|' || path), path) AS s, count(*) OVER () AS n FROM g)
+SELECT printf('MosMedData_%05d', i) AS question_id, 'External-Prepared' AS question_type, {_text(tables.CT_QUESTION)} AS question, [{', '.join(map(_text, tables.CT_OPTIONS))}][ascii(letter) - 64] AS gt_answer, path AS image_path,
+{_text(tables.CT_OPTIONS[0])} AS option_A, {_text(tables.CT_OPTIONS[3])} AS option_D, 'CT(Computed Tomography)' AS modality_type, CASE WHEN s <= greatest(1, round_even(n * 0.2, 0)) THEN 'eval' ELSE 'train' END AS split FROM r""",
     "class_folders": f"""SELECT 'raw/' || c || '/c (' || p_partkey || k AS path, CASE lower(c) WHEN 'benign' THEN 'A' WHEN 'malignant' THEN 'B' ELSE 'C' END AS letter
 FROM (SELECT p_partkey, {_sql_of('p_size', *_CLASSES)} AS c, {_sql_of('p_partkey', *_PICTURES)} AS k FROM part) WHERE c <> 'unknown' AND k IN (').png', ').PNG')""",
     "case_folders": f"""SELECT path, 'A' AS letter FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY (s = '_FLAIR.nii.gz') DESC, path) AS r
