@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +28,24 @@ MOST_WORDS = 400_000
 MOST_PAIRS = 2_000_000
 
 
+#: Most bytes of a ranks file, which is broadcast.
+MOST_BYTES = 1 << 26
+
+
+def read_ranks(path: str) -> bytes:
+    if os.path.getsize(path) > MOST_BYTES:
+        raise ValueError(f"{path} has more than {MOST_BYTES} bytes")
+    with open(path, "rb") as f:
+        return f.read()
+
+
 class Encoder:
     """Byte-level BPE over a ranks file (base64 bytes, rank per line)."""
 
-    def __init__(self, path: str = VOCABULARY, pattern: str = PATTERN):
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    def __init__(self, path: str = VOCABULARY, pattern: str = PATTERN, data: bytes | None = None):
+        """data: the contents of the file, if they are at hand."""
+        lines = (read_ranks(path) if data is None else data).splitlines()
+        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
         self.starts = {b[:k] for b in self.ranks for k in range(1, len(b) + 1)}
@@ -131,10 +144,10 @@ class Encoder:
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
-def encoder(path: str, pattern: str) -> Encoder:
+def encoder(path: str, pattern: str, data: bytes) -> Encoder:
     """One encoder per worker and vocabulary."""
     if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = Encoder(path, pattern)
+        _ENCODERS[path, pattern] = Encoder(path, pattern, data)
     return _ENCODERS[path, pattern]
 
 
@@ -155,12 +168,13 @@ def encode_texts(df: DataFrame, text: str, keep: list[str], out: str = "ids", pa
     """The columns `keep` and `out`, the token ids of df[text] without special tokens.
 
     Empty and NULL texts give an empty list. Strings of special tokens are ordinary text. Every row of df gives one row;
-    repeated rows repeat. path: the ranks file, readable on every worker. A narrow step.
+    repeated rows repeat. path: the ranks file, which the driver reads and broadcasts. A narrow step.
     """
     source = df.select(*keep, F.col(text).alias("_text"))
+    ranks = df.sparkSession.sparkContext.broadcast(read_ranks(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path, pattern)
+        e = encoder(path, pattern, ranks.value)
         for batch in batches:
             at = 0
             for texts in _in_steps(batch.column(batch.num_columns - 1).to_pylist()):
@@ -178,9 +192,10 @@ def encode_texts(df: DataFrame, text: str, keep: list[str], out: str = "ids", pa
 def count_tokens(df: DataFrame, text: str, keep: list[str], out: str = "n_tokens", path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """The columns `keep` and `out`, the number of tokens of df[text]: 0 for empty and NULL texts."""
     source = df.select(*keep, F.col(text).alias("_text"))
+    ranks = df.sparkSession.sparkContext.broadcast(read_ranks(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path, pattern)
+        e = encoder(path, pattern, ranks.value)
         for batch in batches:
             sizes = [len(x) for texts in _in_steps(batch.column(batch.num_columns - 1).to_pylist()) for x in e.encode(texts)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int64())], [*keep, out])
