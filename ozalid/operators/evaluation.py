@@ -66,6 +66,35 @@ def bootstrap(df: DataFrame, by: list[str], resamples: int = 10_000, seed: int =
     return counts.withColumn("_i", interval("n", "hits")).select(*by, "n", "hits", "_i.low", "_i.high")
 
 
+def report(log: DataFrame, requested: DataFrame, strata_of: list[str], resamples: int = 10_000, seed: int = 42) -> DataFrame:
+    """(key, value, requested, total, skipped, correct_rows, accuracy, low, high, fallback_rate, mean_time): all rows first,
+    then each stratum, largest first. log: evaluated rows; requested: what was asked for, with the same strata; what is in
+    requested and not in log was skipped. No rows: one row of zeros and NULLs.
+    """
+
+    def cells(df: DataFrame) -> DataFrame:
+        each = [F.struct(F.lit("all").alias("key"), F.lit(None).cast("string").alias("value"))]
+        each += [F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in strata_of]
+        return df.withColumn("_c", F.explode(F.array(*each)))
+
+    by = [F.col("_c.key").alias("key"), F.col("_c.value").alias("value")]
+    got = cells(log.select("correct", "fallback_triggered", "inference_time", *strata_of)).select(*by, "correct", "fallback_triggered", "inference_time")
+    sums = summary(got, ["key", "value"])
+    asked = cells(requested.select(*strata_of)).groupBy(*by).agg(F.count("*").alias("requested"))
+    same = (F.col("a.key") == F.col("s.key")) & F.col("a.value").eqNullSafe(F.col("s.value"))
+    whole = requested.sparkSession.createDataFrame([("all", None, 0)], "key string, value string, requested long")
+    asked = asked.unionByName(whole).groupBy("key", "value").agg(F.sum("requested").alias("requested"))
+    full = asked.alias("a").join(sums.alias("s"), same, "left").select("a.key", "a.value", "requested", *[F.coalesce(f"s.{c}", F.lit(0)).alias(c) for c in ("total", "correct_rows")], "s.accuracy", "s.fallback_rate", "s.mean_time")
+
+    @F.pandas_udf("low double, high double")
+    def interval(n: pd.Series, hits: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([bootstrap_counts(int(a), int(b), resamples, seed) for a, b in zip(n, hits, strict=True)], columns=["low", "high"])
+
+    told = full.withColumn("skipped", F.col("requested") - F.col("total")).withColumn("_i", interval("total", "correct_rows"))
+    order = [(F.col("key") != "all").cast("int"), F.col("key"), F.desc("total"), F.col("value")]
+    return told.orderBy(*order).select("key", "value", "requested", "total", "skipped", "correct_rows", "accuracy", "_i.low", "_i.high", "fallback_rate", "mean_time")
+
+
 def bootstrap_portable(flags: DataFrame, resamples: int, seed: int = 42) -> DataFrame:
     """(n, low, high) with index draws from md5, the same in any engine: for checks at small size, as it makes
     n x resamples rows. flags: i (0 to n - 1) and f (0 or 1), one row each."""

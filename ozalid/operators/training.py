@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 IGNORED = -100
@@ -25,3 +25,17 @@ def training_examples(df: DataFrame, encode, key: str, prompt: str, answer: str)
     with_answer = encode(with_prompt, answer, [key, "_pi"]).withColumnRenamed("ids", "_ai")
     ids = F.concat("_pi", "_ai")
     return with_answer.select(key, ids.alias("input_ids"), masked_labels(ids, F.size("_pi")).alias("labels"))
+
+
+def write_examples(df: DataFrame, encode, key: str, prompt: str, answer: str, image: str, path: str) -> tuple[DataFrame, int]:
+    """(the examples read back from path, number of rows skipped): built once as Parquet and read each epoch.
+
+    Rows without a resolved image, a prompt or an answer are skipped; it is an error if none is left.
+    """
+    spark: SparkSession = df.sparkSession
+    training_examples(df.filter(F.col(image).isNotNull()), encode, key, prompt, answer).write.mode("overwrite").parquet(path)
+    built = spark.read.parquet(path)
+    n = built.count()
+    if n == 0:
+        raise ValueError("no example could be built: every row lacks an image, a prompt or an answer")
+    return built, df.count() - n

@@ -54,6 +54,15 @@ def accuracy_grouping_sets(spark, sf_dir):
     return ev.strata(_diag(spark, sf_dir), ["modality", "n_choices"])
 
 
+def evaluation_report(spark, sf_dir):
+    """The whole report; rows without a gold letter count as skipped. Intervals, which no other engine draws alike, as
+    whether they hold the accuracy and are at most as wide as chance allows."""
+    d = _diag(spark, sf_dir)
+    r = ev.report(d.filter("gold IS NOT NULL AND correct IS NOT NULL"), d, ["modality", "n_choices"])
+    inside = F.col("accuracy").isNull() | ((F.col("low") <= F.col("accuracy") + 1e-9) & (F.col("high") >= F.col("accuracy") - 1e-9) & (F.col("high") - F.col("low") <= 250 / F.sqrt("total")))
+    return r.select("key", "value", "requested", "total", "skipped", "correct_rows", "accuracy", "fallback_rate", "mean_time", inside.alias("inside"))
+
+
 def run_objective(spark, sf_dir):
     s = ev.summary(_diag(spark, sf_dir), ["run_id"])
     return s.select("run_id", F.round(ev.objective(F.col("accuracy"), F.col("mean_time"), 0.5), 6).alias("objective"))
@@ -140,7 +149,7 @@ def soft_route(spark, sf_dir):
     return d.groupBy(soft.alias("soft")).agg(F.count("*").alias("row_count"))
 
 
-QUERIES = {f.__name__: f for f in (letter_logit_argmax, prefix_loss_argmin, fallback_reason_counts, accuracy_overall, accuracy_by_stratum, accuracy_grouping_sets, run_objective, bootstrap_ci, bootstrap_ci_portable, submission_rows, diagnostic_rows, position_bias, mcnemar, calibration, visual_reliance, latency_percentiles, null_prompt_calibration, cyclic_ensemble, soft_route)}
+QUERIES = {f.__name__: f for f in (letter_logit_argmax, prefix_loss_argmin, fallback_reason_counts, accuracy_overall, accuracy_by_stratum, accuracy_grouping_sets, evaluation_report, run_objective, bootstrap_ci, bootstrap_ci_portable, submission_rows, diagnostic_rows, position_bias, mcnemar, calibration, visual_reliance, latency_percentiles, null_prompt_calibration, cyclic_ensemble, soft_route)}
 
 from ozalid.plans.q_questions import _LETTERS, _META  # noqa: E402
 
@@ -158,6 +167,9 @@ t AS (SELECT *, CASE WHEN (NOT loaded OR n % 11 = 0) AND n % 22 = 0 THEN 'pipeli
 u AS (SELECT *, CASE WHEN NOT ok THEN 'malformed_choices' WHEN state = 'pipeline_failed_on_gray_canvas' THEN state WHEN n % 7 = 0 THEN coalesce(state || '+', '') || 'inference_timeout' ELSE coalesce(state, '') END AS fallback_reason FROM t)
 SELECT fallback_reason, CASE WHEN fallback_reason IN ('malformed_choices', 'pipeline_failed_on_gray_canvas') OR fallback_reason LIKE '%inference_timeout' THEN 'A' ELSE {_L}[n % 4 + 1] END AS answer, count(*) AS row_count FROM u GROUP BY ALL""",
     "accuracy_overall": f"SELECT {_SUMMARY} FROM diagnostics",
+    "evaluation_report": f"""WITH d AS (SELECT *, gold IS NOT NULL AND correct IS NOT NULL AS kept, unnest([{{'key': 'all', 'value': NULL::VARCHAR}}, {{'key': 'modality', 'value': modality}}, {{'key': 'n_choices', 'value': n_choices::VARCHAR}}]) AS c FROM diagnostics)
+SELECT c.key AS key, c.value AS value, count(*) AS requested, count(*) FILTER (kept) AS total, count(*) FILTER (NOT kept) AS skipped, coalesce(sum(correct::INT) FILTER (kept), 0) AS correct_rows, round(100 * avg(correct::INT) FILTER (kept), 6) AS accuracy,
+round(100 * avg(fallback_triggered::INT) FILTER (kept), 6) AS fallback_rate, round(avg(inference_time) FILTER (kept), 4) AS mean_time, true AS inside FROM d GROUP BY c.key, c.value""",
     "accuracy_by_stratum": f"SELECT modality, n_choices, {_SUMMARY} FROM diagnostics GROUP BY ALL",
     "accuracy_grouping_sets": "SELECT CASE WHEN grouping(modality) = 0 THEN 'modality' WHEN grouping(n_choices) = 0 THEN 'n_choices' ELSE 'all' END AS key, CASE WHEN grouping(modality) = 0 THEN modality WHEN grouping(n_choices) = 0 THEN n_choices::VARCHAR END AS value, count(*) AS total, coalesce(sum(correct::INT), 0) AS correct_rows, round(100 * avg(correct::INT), 6) AS accuracy FROM diagnostics GROUP BY GROUPING SETS ((modality), (n_choices), ())",
     "run_objective": "SELECT run_id, round(round(100 * avg(correct::INT), 6) - 0.5 * round(avg(inference_time), 4), 6) AS objective FROM diagnostics GROUP BY run_id",

@@ -13,7 +13,7 @@ from ozalid.operators.resolve import resolve_images
 from ozalid.operators.sampling import case_split, numbered_ids, seeded_sample, shuffled_choices
 from ozalid.operators.scoring import answers, candidate_losses, fallback_reason, final_answer, letter_scores, only_offered
 from ozalid.operators.skew import join_by_share, latest_rows, salted_rank
-from ozalid.operators.training import masked_labels, training_examples
+from ozalid.operators.training import masked_labels, training_examples, write_examples
 
 ABCD = "A string, B string, C string, D string"
 
@@ -171,10 +171,15 @@ def test_series_and_shapes(spark):
     assert shapes == {"s": "2x2", "t": "1x1", "u": "y"}
 
 
-def test_training_examples(spark):
+def test_training_examples(spark, tmp_path):
     df = spark.createDataFrame([("1", "ab", "c"), ("2", None, "c")], "k string, p string, a string")
     encode = lambda d, t, keep: d.select(*keep, F.expr(f"transform(split({t}, ''), x -> ascii(x))").alias("ids"))
     assert [tuple(r) for r in training_examples(df, encode, "k", "p", "a").collect()] == [("1", [97, 98, 99], [-100, -100, 99])]
+    with_image = df.withColumn("i", F.when(F.col("k") != "3", F.lit("x.png")))
+    built, skipped = write_examples(with_image, encode, "k", "p", "a", "i", str(tmp_path / "e"))
+    assert (built.count(), skipped) == (1, 1)
+    with pytest.raises(ValueError):
+        write_examples(with_image.filter("k = '2'"), encode, "k", "p", "a", "i", str(tmp_path / "n"))
     assert spark.range(1).select(masked_labels(F.array(F.lit(1), F.lit(2)), F.lit(1))).first()[0] == [-100, 2]
 
 
