@@ -45,10 +45,12 @@ LONGER = 8
 #: Texts whose last so many tokens are equal but for numbers, names and white space are near copies: they end where they do
 #: for one reason, and are no evidence for each other.
 COPY = 12
+#: Most tokens that a worker keeps, some 100 bytes each.
+KEPT = 500_000
 #: Longest part of a word that is looked up among longer words.
 PART = 12
 
-_TOKEN = re.compile(r"\n+| - |[0-9]+(?:[.,:/][0-9]+)*(?![A-Za-z0-9])|[A-Za-z]*[0-9][A-Za-z0-9]*|[぀-ヿ㐀-鿿]|(?:(?![぀-ヿ㐀-鿿])[^\W\d_])+|\S")
+_TOKEN = re.compile(r"[A-Za-z]++(?![^\W_])|\n+| - |[0-9]+(?:[.,:/][0-9]+)*(?![A-Za-z0-9])|[A-Za-z]*[0-9][A-Za-z0-9]*|[぀-ヿ㐀-鿿]|[^\W\d_぀-ヿ㐀-鿿]+|\S")
 _DIGITS = frozenset("0123456789")
 #: A mark that says by itself that something is missing: a broken character, or dots in brackets; within the last OMITTED_IN
 #: characters.
@@ -89,14 +91,25 @@ def units(text: Column) -> Column:
     return F.filter(split, lambda u: ~u.isin("", " ", "\n"))
 
 
+class _Tokens(dict):
+    """What each token counts as, once for each that a worker meets."""
+
+    def __missing__(self, t: str) -> str:
+        if len(self) >= KEPT:
+            self.clear()
+        if t[-1] in _DIGITS or t[0] in _DIGITS or (t[0] < "\x7f" and not t.isalpha() and t.isalnum()):
+            self[t] = "X0" if any(c.isalpha() for c in t) else "0"
+        else:
+            self[t] = "\n" if t[0] == "\n" else t
+        return self[t]
+
+
+_MEANT = _Tokens()
+
+
 def tokens(text: str) -> list[str]:
     """Words, single ideographs, numbers as 0, names with digits as X0, line breaks and other characters."""
-    out = []
-    for t in _TOKEN.findall(text):
-        if t[-1] in _DIGITS or t[0] in _DIGITS or (t[0] < "\x7f" and not t.isalpha() and t.isalnum()):
-            t = "X0" if any(c.isalpha() for c in t) else "0"
-        out.append("\n" if t[0] == "\n" else t)
-    return out
+    return [_MEANT[t] for t in _TOKEN.findall(text)]
 
 
 def part_hash(part: str) -> int:
@@ -116,13 +129,24 @@ def copy_class(split: list[str]) -> int:
     return int.from_bytes(hashlib.blake2b(" ".join(out).encode(), digest_size=8).digest(), "big", signed=True)
 
 
+class _Numbers(dict):
+    """The numbers of known words; others get that of their class."""
+
+    def __missing__(self, token: str) -> int:
+        if token == "\n":
+            return LINE
+        if not token[0].isalpha():
+            return 2
+        return 3 if token[0].isupper() and len(token) > 1 else 4
+
+
 class Vocabulary:
     """Numbers for known words; unknown ones by class: capitalised, with digits around, other."""
 
     def __init__(self, words: list[str]):
         self._parts: np.ndarray | None = None
         self.sorted = sorted(w for w in words if w != "\n")
-        self.ids = {w: i + 16 for i, w in enumerate(self.sorted)}
+        self.ids = _Numbers((w, i + 16) for i, w in enumerate(self.sorted))
         self.breaks = np.zeros(len(self.sorted) + 16, bool)
         self.closes, self.ends = self.breaks.copy(), self.breaks.copy()
         self.breaks[LINE] = self.ends[LINE] = True
@@ -143,16 +167,6 @@ class Vocabulary:
                         self._parts[i, k - 1] = part_hash(w[:k])
         return self._parts
 
-    def number(self, token: str) -> int:
-        i = self.ids.get(token)
-        if i is not None:
-            return i
-        if token == "\n":
-            return LINE
-        if not token[0].isalpha():
-            return 2
-        return 3 if token[0].isupper() and len(token) > 1 else 4
-
     def starts_known(self, word: str) -> bool:
         """Whether word is a strict prefix of a known word."""
         k = bisect_left(self.sorted, word)
@@ -177,7 +191,8 @@ class Corpus:
     the unit."""
 
     def __init__(self, units: list[list[str]], vocabulary: Vocabulary, final: list[bool] | None = None):
-        numbers = [[vocabulary.number(t) for t in tokens] for tokens in units]
+        ids = vocabulary.ids
+        numbers = [[ids[t] for t in tokens] for tokens in units]
         self.flat = flat = np.array([x for n in numbers for x in (*_PAD, *n)] + [PAD], np.int64)
         inside = flat != PAD
         self.inside = inside
@@ -308,8 +323,13 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for unit, final, n in zip(pdf["unit"].array, pdf["final"].array, pdf["n"].array, strict=True):
             words = tokens(unit)
-            for w in words[:-1] if final else words:
-                counts[w] += n
+            if final:
+                words.pop()
+            if n == 1:
+                counts.update(words)
+            else:
+                for w in words:
+                    counts[w] += n
             if len(counts) > 200_000:
                 yield out()
     yield out()
