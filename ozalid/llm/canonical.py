@@ -28,7 +28,7 @@ EDITS = 2
 MOST_TERMS = 10_000
 #: Distinct values that one task looks up in one block.
 SLICE = 50_000
-_WORD = re.compile(r"[a-z0-9]+")
+_WORD = re.compile(r"[^\W_]+")
 _CAPITALS = re.compile(r"\b[A-Z]{2,}\b")
 NOTHING = (9, 0.0, 0, 0)
 _ABBREVIATION = re.compile(r"\W*\b(abbr|abbreviation|abk)\b\W*")

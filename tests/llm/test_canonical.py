@@ -50,3 +50,8 @@ def test_blocks_of_any_size_give_the_same_answers(spark):
     assert want["abcdefg k"] == 6 and want["seen LN and BMO"] == 0 and want["seen LN again"] == 4 and want[" "] is None
     for most in (1, 2, 3, 5):
         assert {r["v"]: r["term_id"] for r in map_values(df, "v", terms, used=uses, most_terms=most).collect()} == want
+
+
+def test_names_in_other_scripts():
+    d = Dictionary([*TERMS, (20, "Компьютерная томография", None), (21, "胸水", None)])
+    assert [d.lookup(v) for v in ("компьютерная  томогрфия", "томография компьютерная", "胸水", "胸水？", "Рентген")] == [20, 20, 21, 21, 0]
