@@ -395,9 +395,9 @@ def _bitmap(hashes: DataFrame, count: int) -> np.ndarray:
     """Bits of the hashes of tails, in words of 64 bits."""
     slots = 1 << min(MOST_SLOTS.bit_length() - 1, max(16, (SLOTS_EACH * count).bit_length()))
     slot = F.pmod(F.col("h"), F.lit(slots).cast("long"))  # 2**64 is a multiple of slots, so this is the unsigned remainder
-    packed = hashes.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("b")).toPandas()
+    packed = hashes.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("b")).toArrow()
     bits = np.zeros(slots // 64, np.uint64)
-    bits[packed["w"].to_numpy(np.int64)] = packed["b"].to_numpy(np.int64).view(np.uint64)
+    bits[packed["w"].to_numpy()] = packed["b"].to_numpy().view(np.uint64)
     return bits
 
 
