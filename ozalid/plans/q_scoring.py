@@ -10,6 +10,7 @@ from ozalid.operators import evaluation as ev
 from ozalid.operators.choices import choices_of, is_accepted
 from ozalid.operators.scoring import answers, candidate_losses, fallback_reason, final_answer, letter_scores, only_offered
 from ozalid.plans.q_questions import WIDE, table
+from ozalid.streaming.predict import latency_windows
 
 
 def _letter(c):
@@ -63,6 +64,12 @@ def evaluation_report(spark, sf_dir):
     return r.select("key", "value", "requested", "total", "skipped", "correct_rows", "accuracy", "fallback_rate", "mean_time", inside.alias("inside"))
 
 
+def latency_by_window(spark, sf_dir):
+    """The windows of the stream of diagnostics, over the table as one batch."""
+    w = latency_windows(_diag(spark, sf_dir).select("logged_at", "modality", "fallback_triggered", "inference_time"))
+    return w.select("start", "end", "modality", "row_count", "fallbacks", F.round("mean_time", 9).alias("mean_time"))
+
+
 def run_objective(spark, sf_dir):
     s = ev.summary(_diag(spark, sf_dir), ["run_id"])
     return s.select("run_id", F.round(ev.objective(F.col("accuracy"), F.col("mean_time"), 0.5), 6).alias("objective"))
@@ -149,7 +156,7 @@ def soft_route(spark, sf_dir):
     return d.groupBy(soft.alias("soft")).agg(F.count("*").alias("row_count"))
 
 
-QUERIES = {f.__name__: f for f in (letter_logit_argmax, prefix_loss_argmin, fallback_reason_counts, accuracy_overall, accuracy_by_stratum, accuracy_grouping_sets, evaluation_report, run_objective, bootstrap_ci, bootstrap_ci_portable, submission_rows, diagnostic_rows, position_bias, mcnemar, calibration, visual_reliance, latency_percentiles, null_prompt_calibration, cyclic_ensemble, soft_route)}
+QUERIES = {f.__name__: f for f in (letter_logit_argmax, prefix_loss_argmin, fallback_reason_counts, accuracy_overall, accuracy_by_stratum, accuracy_grouping_sets, evaluation_report, latency_by_window, run_objective, bootstrap_ci, bootstrap_ci_portable, submission_rows, diagnostic_rows, position_bias, mcnemar, calibration, visual_reliance, latency_percentiles, null_prompt_calibration, cyclic_ensemble, soft_route)}
 
 from ozalid.plans.q_questions import _LETTERS, _META  # noqa: E402
 
@@ -167,6 +174,8 @@ t AS (SELECT *, CASE WHEN (NOT loaded OR n % 11 = 0) AND n % 22 = 0 THEN 'pipeli
 u AS (SELECT *, CASE WHEN NOT ok THEN 'malformed_choices' WHEN state = 'pipeline_failed_on_gray_canvas' THEN state WHEN n % 7 = 0 THEN coalesce(state || '+', '') || 'inference_timeout' ELSE coalesce(state, '') END AS fallback_reason FROM t)
 SELECT fallback_reason, CASE WHEN fallback_reason IN ('malformed_choices', 'pipeline_failed_on_gray_canvas') OR fallback_reason LIKE '%inference_timeout' THEN 'A' ELSE {_L}[n % 4 + 1] END AS answer, count(*) AS row_count FROM u GROUP BY ALL""",
     "accuracy_overall": f"SELECT {_SUMMARY} FROM diagnostics",
+    "latency_by_window": """SELECT time_bucket(INTERVAL '10 minutes', logged_at) AS start, time_bucket(INTERVAL '10 minutes', logged_at) + INTERVAL '10 minutes' AS "end", modality, count(*) AS row_count,
+count(*) FILTER (fallback_triggered) AS fallbacks, round(avg(inference_time), 9) AS mean_time FROM diagnostics WHERE logged_at IS NOT NULL GROUP BY ALL""",
     "evaluation_report": f"""WITH d AS (SELECT *, gold IS NOT NULL AND correct IS NOT NULL AS kept, unnest([{{'key': 'all', 'value': NULL::VARCHAR}}, {{'key': 'modality', 'value': modality}}, {{'key': 'n_choices', 'value': n_choices::VARCHAR}}]) AS c FROM diagnostics)
 SELECT c.key AS key, c.value AS value, count(*) AS requested, count(*) FILTER (kept) AS total, count(*) FILTER (NOT kept) AS skipped, coalesce(sum(correct::INT) FILTER (kept), 0) AS correct_rows, round(100 * avg(correct::INT) FILTER (kept), 6) AS accuracy,
 round(100 * avg(fallback_triggered::INT) FILTER (kept), 6) AS fallback_rate, round(avg(inference_time) FILTER (kept), 4) AS mean_time, true AS inside FROM d GROUP BY c.key, c.value""",
