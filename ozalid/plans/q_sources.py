@@ -11,28 +11,37 @@ from pyspark.sql import functions as F
 from ozalid.operators.choices import letters_of
 from ozalid.plans.q_questions import _LETTERS, _META, _TEXTS, OPTIONS, WIDE, _strip, table
 from ozalid.plans.q_scoring import ORACLE as _SCORING
+from ozalid.session import cut_lineage
 from ozalid.sources import folders, formats, images, tables
 
 
+def _kept(spark, folder, df):
+    """df, read now, and its files removed."""
+    rows = cut_lineage(df)
+    folders.remove(spark, folder)
+    return rows
+
+
 def metadata_file(spark, sf_dir):
     """Query rows as CSV and back: quoted line breaks and quotes stay, blank images and choices go."""
     at = folders.scratch(spark)
     tables.write_csv(table(spark, sf_dir, "dev_metadata").select("query_id", "image", "question", *WIDE), f"{at}/dev_metadata.csv")
     got = tables.read_metadata(spark, at, encoding="UTF-8")
-    return got.select("query_id", "image", "question", letters_of(F.col("choices")).alias("letters"), F.array_join(F.transform("choices", lambda c: c["text"]), "|").alias("texts"))
+    return _kept(spark, at, got.select("query_id", "image", "question", letters_of(F.col("choices")).alias("letters"), F.array_join(F.transform("choices", lambda c: c["text"]), "|").alias("texts")))
 
 
 def submission_file(spark, sf_dir):
     at = folders.scratch(spark)
     tables.write_csv(tables.submission(table(spark, sf_dir, "diagnostics")), at)
-    return spark.read.option("header", True).option("escape", '"').csv(at).select("query_id", "answer", "inference_time")
+    return _kept(spark, at, spark.read.option("header", True).option("escape", '"').csv(at).select("query_id", "answer", "inference_time"))
 
 
 def diagnostic_file(spark, sf_dir):
     at = folders.scratch(spark)
     tables.write_csv(tables.diagnostic(table(spark, sf_dir, "diagnostics").withColumn("predicted_intent", F.coalesce("predicted_intent", F.lit("")))), at)
     shape = "query_id string, answer string, gold string, correct string, inference_time double, predicted_modality string, predicted_intent string, n_choices int, fallback_triggered string, fallback_reason string, top1_logit double, top2_logit double, logit_margin double"
-    return spark.read.option("header", True).option("escape", '"').schema(shape).csv(at).select("query_id", "answer", "correct", "n_choices", "fallback_triggered", F.coalesce("fallback_reason", F.lit("")).alias("fallback_reason"), F.coalesce("predicted_modality", F.lit("")).alias("predicted_modality"), "top1_logit", "inference_time")
+    got = spark.read.option("header", True).option("escape", '"').schema(shape).csv(at)
+    return _kept(spark, at, got.select("query_id", "answer", "correct", "n_choices", "fallback_triggered", F.coalesce("fallback_reason", F.lit("")).alias("fallback_reason"), F.coalesce("predicted_modality", F.lit("")).alias("predicted_modality"), "top1_logit", "inference_time"))
 
 
 def items_files(spark, sf_dir):
@@ -41,7 +50,7 @@ def items_files(spark, sf_dir):
     items = table(spark, sf_dir, "qa_items").select(F.coalesce("dataset", F.lit("none")).alias("dataset"), "question_id", "question", "gt_answer", *OPTIONS, "modality_type")
     tables.write_datasets(items, root)
     got, missing = tables.read_datasets(spark, root, [*tables.list_datasets(spark, root), "absent"])
-    return got.select("dataset", "question_id", "question", "gt_answer", *OPTIONS, F.lit(",".join(missing)).alias("missing"))
+    return _kept(spark, root, got.select("dataset", "question_id", "question", "gt_answer", *OPTIONS, F.lit(",".join(missing)).alias("missing")))
 
 
 def _paths(spark, sf_dir, *parts):
