@@ -2,7 +2,7 @@ import html
 
 import pytest
 
-from ozalid.llm.garbled import ODDS, Model, as_utf8, garbled, once
+from ozalid.llm.garbled import ODDS, Model, as_utf8, garbled, once, search_rare, seeker_keys, target_keys
 
 CLEAN = ["größer", "épanchement", "Дыхание", "正常", "μm", "“Halo”", "image", "is", "coração", "Ø", "Łódź", "naïve"]
 
@@ -85,3 +85,45 @@ def test_words_outside_the_model(spark):
     bad = {"von Gr\xc3\xb6n\xc3\xb6ck": "von Grönöck", f"x {name.encode('cp1251').decode('latin-1')}": f"x {name}"}
     got = {r["value"]: r["restored"] for r in garbled(spark.createDataFrame(rows + [(v,) for v in bad], "value string")).collect()}
     assert got == bad
+
+
+def test_damaged_words_outside_the_model(spark):
+    """The whole search covers words below the model's share, too: replaced, lost and changed characters."""
+    rows = [("a b c d e f g h i j",)] * 100_000 + [(f"Иванченко Grönöck {i % 4}",) for i in range(8)]
+    bad = {"x Ива?ченко": "x Иванченко", "y gr\xe3\xb6n\xe3\xb6ck": "y Grönöck", "z Gr\ufffdnöck": "z Grönöck", "w Gr\xc3n\xc3\xb6ck": "w Grönöck"}
+    got = {r["value"]: r["restored"] for r in garbled(spark.createDataFrame(rows + [(v,) for v in bad], "value string")).collect()}
+    assert got == bad
+
+
+def test_rare_words_in_blocks(spark, model):
+    """For any size of blocks the same answers as one model gives, for wide characters with ASCII bytes, too."""
+    targets = [*CLEAN, "正常病变肺部感染肺炎肿瘤", "ソニー表示", "größe"]
+    bad = [twice("coração"), "gr�ßer", "gr??er", "ã©panchement", "größer".encode().decode("gb18030", "replace"), "Å\x81Ã³dÅº", "正常病变肺部感染肺炎肿瘤".encode("gb18030").decode("big5", "replace"), "ソニー表示".encode("cp932").decode("gb18030", "replace"), "ソニー表示".encode("cp932").decode("cp1252", "replace"), "image", "größer"]
+    whole = Model([(w, 100) for w in sorted(targets)], 100 * len(targets))
+    want = {}
+    for w in bad:
+        whole.count.setdefault(w, 1)
+        whole.places.setdefault(w, 1)
+        if hit := whole.cheapest(w):
+            want[w] = (pytest.approx(hit[0]), hit[1])
+            assert seeker_keys(w) & target_keys(hit[1])
+    assert len(want) >= 8
+    of = spark.createDataFrame([(w, 100, 100, w) for w in targets], "word string, n long, places long, final string")
+    by = spark.createDataFrame([(w, 1, 1) for w in bad], "word string, n long, places long")
+    for block in (2, 1000):
+        assert {r["word"]: (r["cost"], r["restored"]) for r in search_rare(by, of, 100 * len(targets), block).collect()} == want
+
+
+def test_words_that_are_not_likelier_hide_no_others():
+    m = Model([("ápanchement", 150), ("épanchement", 120), ("\ufffdpanchement", 40)], 1000, {"ápanchement": 1, "épanchement": 10, "\ufffdpanchement": 1})
+    assert m.decode("\ufffdpanchement") == "épanchement"
+
+
+def test_any_rounds_and_damage():
+    words = ["größer", "正常", "é" * 30 + "a", "a😀b"]
+    m = Model([(w, 100) for w in words], 400)
+    often = "größer"
+    for _ in range(9):
+        often = often.encode().decode("latin-1")
+    for bad, good in ((often, "größer"), ("正常".encode()[:-2].decode("cp1252"), "正常"), ("?" * 30 + "a", words[2]), ("a\ufffdb", "a😀b")):
+        assert m.decode(bad) == good
